@@ -1,4 +1,6 @@
 """Named queries over the test tables."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from sift.plans import quality
+
+QUERIES: dict = {**quality.QUERIES}
+ORACLES: dict = {**quality.ORACLES}

@@ -12,6 +12,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sift.llm.encode import token_counts
@@ -70,10 +71,9 @@ def mix_plan(counts: DataFrame, targets: DataFrame) -> DataFrame:
     without a source are ignored; several rows of one source add up, with the largest cap. A source without documents
     has no tokens and falls short of any positive share."""
     totals = counts.groupBy("source").agg(F.sum("n_tokens").alias("tokens_available"), F.count(F.lit(1)).alias("docs_available"))
-    everything = totals.agg(F.coalesce(F.sum("tokens_available"), F.lit(0)).alias("tokens_total"))
+    everything = totals.agg(F.sum("tokens_available")).first()[0] or 0
     wanted = targets.where(F.col("source").isNotNull()).groupBy("source").agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
-    # Both sides have a row per source, the other a single row: joins of aggregates, never of documents.
-    plan = wanted.join(totals, "source", "left").crossJoin(F.broadcast(everything))
+    plan = wanted.join(totals, "source", "left").withColumn("tokens_total", F.lit(everything).cast("long"))
     tokens, docs = F.coalesce("tokens_available", F.lit(0)), F.coalesce("docs_available", F.lit(0))
     need = F.coalesce("target_share", F.lit(0.0)) * F.col("tokens_total")
     cap = F.coalesce("max_repeats", F.lit(0)).cast("long")
@@ -111,7 +111,7 @@ def mix_sources(docs: DataFrame, targets: DataFrame, seed: int = 7, path: str |
         decided = decided.unionByName(part.select(decided.columns))
     draws = decided.select("source", "doc_id", "n_tokens", (F.col("copies") + F.col("p").cast("int")).alias("copies")).where(F.col("copies") > 0)
     used = draws.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens_drawn"), F.count(F.lit(1)).alias("docs_drawn"), F.max("copies").alias("most_repeats"))
-    both = plan.join(used, "source", "left").fillna(0, ["tokens_drawn", "docs_drawn", "most_repeats"])
-    drawn = both.agg(F.sum("tokens_drawn").alias("_drawn"))
-    report = both.crossJoin(F.broadcast(drawn)).withColumn("share_of_total", F.when(F.col("tokens_total") > 0, F.col("tokens_drawn") / F.col("tokens_total")))
-    return draws, report.withColumn("share_of_mix", F.when(F.col("_drawn") > 0, F.col("tokens_drawn") / F.col("_drawn"))).drop("_drawn")
+    report = plan.join(used, "source", "left").fillna(0, ["tokens_drawn", "docs_drawn", "most_repeats"])
+    drawn = F.sum("tokens_drawn").over(W.partitionBy())  # over one row per target source
+    shares = [F.when(whole > 0, F.col("tokens_drawn") / whole) for whole in (F.col("tokens_total"), drawn)]
+    return draws, report.withColumns({"share_of_total": shares[0], "share_of_mix": shares[1]})

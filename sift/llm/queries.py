@@ -5,15 +5,97 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sift.llm.encode import encode_corpus, token_counts
+from sift.functions.keys import proper_key
+from sift.functions.text import says_something
+from sift.llm.cooccur import co_occurrence
+from sift.llm.encode import encode_corpus
+from sift.llm.looks import known_tags, one_form, same_looks, tag_forms, video_tags, video_texts
 from sift.llm.mix import mix_sources
 from sift.llm.split import split_documents
+from sift.llm.survivor import Bundle, Dependency, surviving_records
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _tag_baskets(spark: SparkSession, d: str) -> DataFrame:
+    """(basket, item): videos and the tags of any of their records; known tags by tag_id, others by a negative hash."""
+    tags = video_tags(_table(spark, d, "videos")).where(F.col("video").isNotNull() & F.col("tag").isNotNull()).select(F.col("video").alias("basket"), "tag").distinct()
+    looks = tags.select("tag").distinct().select("tag", one_form(F.col("tag")).alias("looks")).where(F.col("looks") != "")
+    known = looks.join(tag_forms(_table(spark, d, "tag_catalog")).drop("tag"), "looks", "left")
+    item = F.coalesce("tag_id", -F.pmod(F.xxhash64("looks"), F.lit(1 << 62)) - 1)
+    return tags.join(known.select("tag", item.alias("item")), "tag").select("basket", "item")
+
+
+def _tag_pairs(spark: SparkSession, d: str, min_count: int) -> DataFrame:
+    videos = _table(spark, d, "videos").select(proper_key(F.col("bvid")).alias("v")).where(F.col("v").isNotNull()).distinct().count()
+    return co_occurrence(_tag_baskets(spark, d), videos, min_count)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = _tag_pairs(spark, d, 8).where((F.col("item_a") > 0) & (F.col("n_ab") * F.col("n_baskets") >= 4 * F.col("n_a") * F.col("n_b")))
+    return pairs.select(F.col("item_a").alias("tag_id_a"), F.col("item_b").alias("tag_id_b"))
+
+
+def p3_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return _tag_pairs(spark, d, 1)
+
+
+def _survivors(spark: SparkSession, d: str, every: bool) -> DataFrame:
+    videos = _table(spark, d, "videos").withColumn("video", proper_key(F.col("bvid")))
+    detail = F.col("enrichment.detail")
+    level = F.when(detail == "complete", 3).when(detail == "partial", 2).when(detail == "unavailable", 1).otherwise(0)
+
+    def number(name: str) -> Bundle:
+        v = F.col(f"stats.{name}")
+        return Bundle(name, {name: v}, F.coalesce((v > 0) & ~F.isnan(v) | (v == 0) & (level >= 2), F.lit(False)))
+
+    def text(name: str) -> Bundle:
+        return Bundle(name, {name: F.col(name)}, says_something(F.col(name)))
+
+    bundles = [text("title"), text("description"), number("views"), number("likes")]
+    deps = []
+    if every:
+        rest = ["favorites", "coins", "shares", "replies", "danmaku"]
+        some = F.coalesce(*(F.when(F.col(f"stats.{m}") >= 0, F.lit(True)) for m in rest), F.lit(False))
+        bundles += [
+            Bundle("counters", {m: F.col(f"stats.{m}") for m in rest}, some),
+            Bundle("author", {"name": F.col("author.name"), "mid": F.col("author.mid")}, F.col("author.mid").isNotNull()),
+            Bundle("publication", {"publishedAt": F.col("publishedAt"), "category": F.col("category")}, F.coalesce(F.col("publishedAt") > 0, F.lit(False))),
+            Bundle("enrichment", {c: F.col(f"enrichment.{c}") for c in ("detail", "detailSource", "pageCount")}, detail.isNotNull()),
+            Bundle("duration", {"durationText": F.col("durationText")}, says_something(F.col("durationText"))),
+        ]
+        deps = [Dependency("enrichment", "duration")]  # a page count belongs to a running time
+    return surviving_records(videos, "video", "record_id", level, F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', fetched_at)"), bundles, deps)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    best = _survivors(spark, d, False).where("first_record <> last_record")
+    rows = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"{f}.record").alias("record_id")) for f in ("title", "description", "views", "likes"))))
+    return best.select(F.col("video").alias("bvid"), rows.alias("r")).select("bvid", "r.*").where(F.col("record_id").isNotNull())
+
+
+def p4_survivors(spark: SparkSession, d: str) -> DataFrame:
+    return _survivors(spark, d, True)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    videos = _table(spark, d, "videos")
+    tags = known_tags(video_tags(videos).select("record_id", "tag").where(F.col("tag").isNotNull()), _table(spark, d, "tag_catalog"))
+    tags = tags.where(F.col("tag") != F.col("known")).select(F.lit("tags").alias("field"), "record_id", F.col("tag_id").alias("other_id")).distinct()
+    return same_looks(video_texts(videos)).unionByName(tags)
+
+
+def p5_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Every record's title, description and tags in their one form, and folded for comparing."""
+    videos = _table(spark, d, "videos")
+    texts = videos.select("record_id", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in ("title", "description")))).alias("t")).select("record_id", "t.*")
+    texts = texts.unionByName(videos.select("record_id", F.lit("tags").alias("field"), F.explode("tags").alias("text")))
+    forms = texts.select("text").where(F.col("text").isNotNull()).distinct().select("text", one_form(F.col("text")).alias("form"), one_form(F.col("text"), True).alias("folded"))
+    return texts.join(forms, "text", "left")
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(_table(spark, d, "documents"))
 
@@ -45,5 +127,5 @@ def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_documents(_table(spark, d, "documents"), *_limits(spark, d))
 
 
-QUERIES = {"p6_ids": p6_ids, "p7_found": p7_found, "p7_report": p7_report, "p7_mix": p7_mix, "p8_found": p8_found, "p8_pieces": p8_pieces}
+QUERIES = {"p3_found": p3_found, "p3_pairs": p3_pairs, "p4_found": p4_found, "p4_survivors": p4_survivors, "p5_found": p5_found, "p5_forms": p5_forms, "p6_ids": p6_ids, "p7_found": p7_found, "p7_report": p7_report, "p7_mix": p7_mix, "p8_found": p8_found, "p8_pieces": p8_pieces}
 ORACLES: dict[str, str] = {}

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sift.functions.keys import proper_key
-from sift.functions.text import INVISIBLE, says_something
+from sift.functions.text import INVISIBLE, per_value, says_something
 from sift.session import cut
 
 # Letters that look like ASCII ones, and those ones (Cyrillic, Armenian, Greek, phonetic, hyphens).
@@ -48,12 +48,12 @@ def canonical(text: str, fold_case: bool = False) -> str:
 
 @F.pandas_udf(T.StringType())
 def _canonical(texts: pd.Series) -> pd.Series:
-    return texts.map({t: canonical(t) for t in texts.dropna().unique()})
+    return per_value(texts, canonical)
 
 
 @F.pandas_udf(T.StringType())
 def _folded(texts: pd.Series) -> pd.Series:
-    return texts.map({t: canonical(t, True) for t in texts.dropna().unique()})
+    return per_value(texts, lambda t: canonical(t, True))
 
 
 def one_form(value: Column, fold_case: bool = False) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sift.functions.text import half_width, strip_invisible
 
 #: Fixed value: the form of a proper key.
-PROPER_KEY = r"^BV[0-9A-Za-z]{8,24}$"
+PROPER_KEY = r"^BV[0-9A-Za-z]{8,24}\z"
 _ANY = r"^(?:(?:(?:https?:)?//)?[^/\s]+/video/)?[Bb][Vv]([0-9A-Za-z]{8,24})(?:[/?#].*)?$"
 
 

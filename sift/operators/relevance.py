@@ -13,6 +13,7 @@ from sift.config import ANCHORS, BAND, CORE, EPSILON, FIELDS, FUZZY, FUZZY_FACTO
 from sift.functions.numbers import clamp
 from sift.functions.text import compact_text, java_literal, ngram_containment, normalize_text, ordered_terms, substring_similarity
 from sift.query import ParsedQuery, Term, compact, parse
+from sift.session import stage
 
 
 def field_text(name: str) -> Column:
@@ -23,8 +24,8 @@ def field_text(name: str) -> Column:
 
 def matchable(items: DataFrame) -> DataFrame:
     """items plus the normalised (n_<field>) and compact (c_<field>) form of each field. Do this once per corpus."""
-    normal = items.withColumns({f"n_{f.name}": normalize_text(field_text(f.name)) for f in FIELDS} | {"n_all": normalize_text(F.concat_ws(" ", *(field_text(f.name) for f in FIELDS)))})
-    return normal.withColumns({f"c_{f.name}": compact_text(F.col(f"n_{f.name}")) for f in FIELDS} | {"c_all": compact_text(F.col("n_all"))})
+    normal = stage(items.withColumns({f"n_{f.name}": normalize_text(field_text(f.name)) for f in FIELDS} | {"n_all": normalize_text(F.concat_ws(" ", *(field_text(f.name) for f in FIELDS)))}))
+    return stage(normal.withColumns({f"c_{f.name}": compact_text(F.col(f"n_{f.name}")) for f in FIELDS} | {"c_all": compact_text(F.col("n_all"))}))
 
 
 def _word(text: str) -> bool:
@@ -119,7 +120,7 @@ def evaluate(items: DataFrame, query: str | ParsedQuery, prefilter: bool = True)
         for f in FIELDS:
             exact, near = term_match(term, f.name, prefilter)
             matched[f"m{i}_{f.name}"] = F.struct(exact.alias("e"), near.alias("s"))
-    rows = rows.withColumns(matched | {"_phrase": _phrase(q), "_near": _proximity(q)})
+    rows = stage(rows.withColumns(matched | {"_phrase": _phrase(q), "_near": _proximity(q)}))
     e = lambda i, f: F.col(f"m{i}_{f}.e")
     s = lambda i, f: F.col(f"m{i}_{f}.s")
     conf = lambda i, f: F.when(e(i, f), 1.0).otherwise(s(i, f) * FUZZY_FACTOR)
@@ -128,10 +129,10 @@ def evaluate(items: DataFrame, query: str | ParsedQuery, prefilter: bool = True)
     best = {i: F.greatest(*(conf(i, f) for f in names)) for i in every}
     total = sum(t.weight for t in q.terms) or 1.0
     mean = lambda of: sum((F.lit(q.terms[i].weight) * of(i) for i in every), F.lit(0.0)) / total
-    rows = rows.withColumns({
+    rows = stage(rows.withColumns({
         "_coverage": mean(lambda i: best[i]), "_field": mean(lambda i: F.greatest(*(conf(i, f.name) * f.strength for f in FIELDS))),
         "_title": mean(lambda i: conf(i, "title")), "_core": mean(lambda i: F.greatest(*(conf(i, f) for f in CORE))),
-    })
+    }))
     author = (F.col("_phrase.field") == "author") & (F.col("_phrase.score") > 0)
     value = clamp(0.5 * F.col("_field") + 0.25 * F.col("_coverage") + 0.13 * F.col("_title") + 0.08 * F.col("_phrase.score") + 0.04 * F.col("_near") + F.when(author, 0.06).otherwise(0.0))
     primary = [i for i in every if not q.terms[i].auxiliary]
@@ -155,7 +156,7 @@ def evaluate(items: DataFrame, query: str | ParsedQuery, prefilter: bool = True)
     least = F.lit(rules.min_coverage)
     if q.effective_terms == 1:
         least = F.when(~exact_anchor & strong, RELAXED_COVERAGE).otherwise(least)
-    rows = rows.withColumns({"_value": value, "_least": least, "_negative": negative})
+    rows = stage(rows.withColumns({"_value": value, "_least": least, "_negative": negative}))
     rejected = texts([
         F.when(F.col("_negative").isNotNull(), F.concat(F.lit("命中排除词“"), F.col("_negative"), F.lit("”"))), F.when(F.col("_value") < rules.threshold, F.lit(f"相关性低于 {round(rules.threshold * 100)} 分")),
         F.when(F.col("_coverage") < F.col("_least"), F.format_string("关键词覆盖低于 %d%%", F.floor(F.col("_least") * 100 + 0.5).cast("int"))), F.when(~core, F.lit("至少一个核心词须精确命中标题或标签")),
@@ -180,7 +181,7 @@ def evaluate(items: DataFrame, query: str | ParsedQuery, prefilter: bool = True)
         F.lit(rules.threshold).alias("threshold"), F.col("_least").alias("min_coverage"), F.lit(q.effective_terms).alias("effective_terms"), (F.size("_rejected") == 0).alias("passes"), hits.alias("matched_terms"),
         missing.alias("missing_terms"), positive.alias("positive_reasons"), notes.alias("negative_reasons"), F.col("_rejected").alias("rejection_reasons"),
     )
-    return rows.withColumn("_rejected", rejected).withColumn("relevance", relevance).drop(*matched, "_phrase", "_near", "_coverage", "_field", "_title", "_core", "_value", "_least", "_negative", "_rejected")
+    return stage(stage(rows.withColumn("_rejected", rejected)).withColumn("relevance", relevance).drop(*matched, "_phrase", "_near", "_coverage", "_field", "_title", "_core", "_value", "_least", "_negative", "_rejected"))
 
 
 def relevance_band(value: Column) -> Column:

@@ -304,12 +304,12 @@ _SCORED = f"WITH {S.ENRICHED}, {S.quality()}, {S.growth(NOW_MS)}, {S.timeliness(
 _RANKED = f"{_SCORED}, {S.relevance_two(*QUERY.split())}, {S.ranked()}"
 _WALK = f"""
 WITH RECURSIVE one AS (
-  SELECT snapshot_id, any_value(bvid) AS bvid, min(epoch_us(received_at) // 1000) AS received, any_value(CASE WHEN "capturedAt" > 0 THEN CASE WHEN "capturedAt" < 10000000000 THEN "capturedAt" * 1000 ELSE "capturedAt" END END) AS at
+  SELECT snapshot_id, any_value(bvid) AS bvid, min(epoch_us(received_at) // 1000) AS received, any_value(CASE WHEN "capturedAt" > 0 THEN CASE WHEN "capturedAt" < 10000000000 THEN "capturedAt" * 1000 ELSE "capturedAt" END END) AS "at"
   FROM snapshots GROUP BY snapshot_id),
-e AS (SELECT DISTINCT bvid AS source, at FROM one WHERE at <= received AND bvid IS NOT NULL),
-k AS (SELECT source, min(at) AS at FROM e GROUP BY source UNION ALL SELECT * FROM (SELECT e.source, min(e.at) AS at FROM k JOIN e ON e.source = k.source AND e.at >= k.at + {HISTORY.min_interval_ms} GROUP BY e.source, k.at)),
-kept AS (SELECT source, at FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY at DESC) AS n FROM k) WHERE n <= {HISTORY.keep_snapshots}),
-young AS (SELECT * FROM kept WHERE at >= {NOW_MS - HISTORY.max_age_ms})
+e AS (SELECT DISTINCT bvid AS source, "at" FROM one WHERE "at" <= received AND bvid IS NOT NULL),
+k AS (SELECT source, min("at") AS "at" FROM e GROUP BY source UNION ALL SELECT * FROM (SELECT e.source, min(e."at") AS "at" FROM k JOIN e ON e.source = k.source AND e."at" >= k."at" + {HISTORY.min_interval_ms} GROUP BY e.source, k."at")),
+kept AS (SELECT source, "at" FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY "at" DESC) AS n FROM k) WHERE n <= {HISTORY.keep_snapshots}),
+young AS (SELECT * FROM kept WHERE "at" >= {NOW_MS - HISTORY.max_age_ms})
 """
 
 
@@ -344,7 +344,7 @@ SELECT sample_id, CASE WHEN tv THEN {S.strict_online("total")} END AS total, CAS
 WITH v AS (SELECT record_id, coalesce(bvid, '') AS raw, trim(regexp_replace({S.half("coalesce(bvid, '')")}, '[\\x{{00AD}}\\x{{200B}}-\\x{{200F}}\\x{{2060}}-\\x{{206F}}\\x{{FEFF}}]', '', 'g'), chr(32) || chr(9) || chr(10) || chr(13) || chr(160)) AS b FROM videos),
 w AS (SELECT *, regexp_extract(b, '^(?:(?:(?:https?:)?//)?[^/\\s]+/video/)?[Bb][Vv]([0-9A-Za-z]{{8,24}})(?:[/?#].*)?$', 1) AS tail FROM v)
 SELECT record_id, regexp_matches(regexp_replace(raw, '^[\\s\\x{{3000}}\\x{{00A0}}\\x{{FEFF}}]+|[\\s\\x{{3000}}\\x{{00A0}}\\x{{FEFF}}]+$', '', 'g'), '^BV[0-9A-Za-z]{{8,24}}$') AS strict, CASE WHEN tail <> '' THEN 'BV' || tail END AS key FROM w""",
-    "snapshot_times": 'SELECT snapshot_id, CASE WHEN "capturedAt" > 0 THEN CASE WHEN "capturedAt" < 10000000000 THEN "capturedAt" * 1000 ELSE "capturedAt" END END AS at FROM snapshots',
+    "snapshot_times": 'SELECT snapshot_id, CASE WHEN "capturedAt" > 0 THEN CASE WHEN "capturedAt" < 10000000000 THEN "capturedAt" * 1000 ELSE "capturedAt" END END AS "at" FROM snapshots',
     "duration_labels": f"SELECT bvid, greatest(0.0, duration::DOUBLE) AS seconds, {S.label('duration')} AS label FROM video_details",
     "payload_kinds": "SELECT doc_id, CASE WHEN status = 503 OR (status = 200 AND charset IS NULL) THEN 'risk' WHEN status = 200 THEN 'ok' ELSE 'api' END AS kind, coalesce(status IN (404, 405), false) AS structural FROM documents",
     "signed_requests": f"""
@@ -371,18 +371,18 @@ e AS (SELECT key, good, list_filter(good, lambda p: p.page = 2)[1] AS asked FROM
 SELECT key, coalesce(asked, good[1]).cid AS cid, coalesce(asked, good[1]).page AS page, CASE WHEN len(good) > 0 THEN CASE WHEN asked IS NOT NULL THEN 'requested-page' ELSE 'first-page-fallback' END END AS selection, len(good) > 1 AS multi_part FROM e""",
     "relevance": f"{_RANKED} SELECT key, round(relevance, 6) AS value, round(coverage, 6) AS coverage, round(title_coverage, 6) AS title_coverage, round(phrase, 6) AS phrase, passes, n_reasons::BIGINT AS n_reasons FROM judged",
     "quality_scores": f"WITH {S.ENRICHED}, {S.quality()} SELECT key, round(quality, 6) AS value, round(0.65 * q_abs + 0.35 * q_rate, 6) AS raw, round(q_full, 6) AS completeness, round(q_abs, 6) AS absolute, round(q_rate, 6) AS rate FROM scored_q",
-    "growth_scores": f"{_SCORED} SELECT key, round(growth, 6) AS value, round(CASE WHEN g_seen > 0 THEN g_seen ELSE g_life END, 6) AS completeness, round(CASE WHEN g_status = 'unavailable' THEN 0.0 ELSE g_trust END, 6) AS confidence, round(g_hours, 6) AS observation_hours, g_status AS status FROM scored_g",
-    "timeliness_scores": f"{_SCORED} SELECT key, round(timeliness, 6) AS value, round(online, 6) AS online_count, CASE WHEN recency IS NULL THEN 0.0 ELSE 0.65 END + CASE WHEN heat IS NULL THEN 0.0 ELSE 0.35 END AS completeness FROM scored",
+    "growth_scores": f"{_SCORED} SELECT key, round(growth, 6) AS value, round((CASE WHEN g_seen > 0 THEN g_seen ELSE g_life END)::DOUBLE, 6) AS completeness, round((CASE WHEN g_status = 'unavailable' THEN 0.0 ELSE g_trust END)::DOUBLE, 6) AS confidence, round(g_hours, 6) AS observation_hours, g_status AS status FROM scored_g",
+    "timeliness_scores": f"{_SCORED} SELECT key, round(timeliness, 6) AS value, round(online, 6) AS online_count, CASE WHEN recency IS NULL THEN 0::DOUBLE ELSE 0.65 END + CASE WHEN heat IS NULL THEN 0::DOUBLE ELSE 0.35 END AS completeness FROM scored",
     "rank_all_views": f"{_RANKED} SELECT view, position, key, band, round(band_position, 6) AS band_position, round(inner_score, 6) AS inner_score, round(signal, 6) AS signal FROM ranked",
     "ranking_stats": f"{_RANKED} SELECT count(*) AS evaluated, count(*) FILTER (passes) AS accepted, count(*) FILTER (NOT passes) AS rejected, 0.35::DOUBLE AS threshold, 0.5::DOUBLE AS min_coverage, 0.05::DOUBLE AS relevance_band FROM judged",
     "rejected_items": f"{_RANKED} SELECT key, round(relevance, 6) AS value FROM judged WHERE NOT passes",
     "shortlist": f"{_RANKED} SELECT key, min(3 * (position - 1) + view_index) AS turn FROM ranked WHERE position <= 60 GROUP BY key ORDER BY turn LIMIT 60",
     "online_shortlist": f"{_RANKED} SELECT key, position FROM ranked WHERE view = 'timeliness' AND position <= 24",
     "page_two": f"{_RANKED}, n AS (SELECT greatest(1, ceil(max(position) / {RESULTS_PER_PAGE}.0)) AS pages FROM ranked WHERE view = 'growth') SELECT key, position FROM ranked, n WHERE view = 'growth' AND position > (least(2, pages) - 1) * {RESULTS_PER_PAGE} AND position <= least(2, pages) * {RESULTS_PER_PAGE}",
-    "sampled_history": f"{_WALK} SELECT source, at FROM k",
-    "kept_history": f"{_WALK}, n AS (SELECT source FROM young GROUP BY source ORDER BY max(at) DESC, source LIMIT {HISTORY.keep_items}) SELECT source, at FROM young SEMI JOIN n USING (source)",
-    "snapshots_of_items": f"{_WALK} SELECT d.bvid AS source, count(y.at) AS n FROM (SELECT DISTINCT bvid FROM video_details) d LEFT JOIN (SELECT * FROM young WHERE at <= {NOW_MS}) y ON y.source = d.bvid GROUP BY d.bvid",
-    "streamed_history": f"{_WALK} SELECT source, at FROM k",
+    "sampled_history": f"{_WALK} SELECT source, \"at\" FROM k",
+    "kept_history": f"{_WALK}, n AS (SELECT source FROM young GROUP BY source ORDER BY max(\"at\") DESC, source LIMIT {HISTORY.keep_items}) SELECT source, \"at\" FROM young SEMI JOIN n USING (source)",
+    "snapshots_of_items": f"{_WALK} SELECT d.bvid AS source, count(y.\"at\") AS n FROM (SELECT DISTINCT bvid FROM video_details) d LEFT JOIN (SELECT * FROM young WHERE \"at\" <= {NOW_MS}) y ON y.source = d.bvid GROUP BY d.bvid",
+    "streamed_history": f"{_WALK} SELECT source, \"at\" FROM k",
     "display_texts": """
 WITH x AS (SELECT trim(bvid) AS key, stat."view"::DOUBLE AS v, stat."like"::DOUBLE AS l, pubdate FROM video_details)
 SELECT key, CASE WHEN v IS NULL THEN '—' WHEN v >= 1e9 THEN format('{:.0f}', floor(v / 1e8 + 0.5)) || '亿' WHEN v >= 1e8 THEN format('{:.1f}', floor(v / 1e8 * 10 + 0.5) / 10) || '亿' WHEN v >= 1e5 THEN format('{:.0f}', floor(v / 1e4 + 0.5)) || '万'

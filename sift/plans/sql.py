@@ -118,7 +118,7 @@ def average(parts: list[tuple[str, float]]) -> str:
 
 
 def weights(parts: list[tuple[str, float]]) -> str:
-    return "(" + " + ".join(f"CASE WHEN ({v}) IS NOT NULL THEN {w} ELSE 0.0 END" for v, w in parts) + ")"
+    return "(" + " + ".join(f"CASE WHEN ({v}) IS NOT NULL THEN {w}::DOUBLE ELSE 0::DOUBLE END" for v, w in parts) + ")"
 
 
 def quality() -> str:
@@ -140,8 +140,8 @@ def growth(now_ms: int) -> str:
     then = lambda m: f"greatest(0.0, s_stats.{m.name})"
     one = ", ".join(f"{sigmoid(f'{m.name} / age', m.anchor)} AS l_{m.name}, {sigmoid(f'CASE WHEN s_stats.{m.name} IS NOT NULL AND days > 0 AND {m.name} >= {then(m)} THEN ({m.name} - {then(m)}) / days END', m.anchor)} AS o_{m.name}" for m in GROWTH)
     return f"""
-snaps AS (SELECT bvid, snapshot_id, stats, CASE WHEN "capturedAt" < 10000000000 THEN "capturedAt" * 1000 ELSE "capturedAt" END AS at FROM snapshots WHERE "capturedAt" > 0),
-latest AS (SELECT bvid, max(at) AS s_at, first(stats ORDER BY at DESC, snapshot_id DESC) AS s_stats FROM snaps WHERE at <= {now_ms - 900_000} AND bvid IS NOT NULL GROUP BY bvid),
+snaps AS (SELECT bvid, snapshot_id, stats, CASE WHEN "capturedAt" < 10000000000 THEN "capturedAt" * 1000 ELSE "capturedAt" END AS t_ms FROM snapshots WHERE "capturedAt" > 0),
+latest AS (SELECT bvid, max(t_ms) AS s_at, first(stats ORDER BY t_ms DESC, snapshot_id DESC) AS s_stats FROM snaps WHERE t_ms <= {now_ms - 900_000} AND bvid IS NOT NULL GROUP BY bvid),
 g0 AS (SELECT q.*, s_at, s_stats, ({now_ms} - s_at) / 86400000.0::DOUBLE AS days, CASE WHEN "publishedAt" > 0 AND "publishedAt" <= {now_ms} THEN greatest(1.0::DOUBLE / 24, ({now_ms} - "publishedAt") / 86400000.0::DOUBLE) END AS age FROM scored_q q LEFT JOIN latest s ON s.bvid = q.key),
 g1 AS (SELECT *, {one} FROM g0),
 g2 AS (SELECT *, {weights(seen)} AS g_seen, {weights(life)} AS g_life, ({now_ms} - s_at) / 3600000.0::DOUBLE AS g_hours, coalesce({average(both)}, 0.5) AS g_both, coalesce({average(life)}, 0.5) AS g_mean FROM g1),
@@ -160,7 +160,7 @@ def timeliness(now_ms: int, days: int) -> str:
     return f"""
 samples AS (SELECT bvid, sample_id, sampled_at, CASE WHEN coalesce(show_switch.total, true) THEN {strict_online("total")} END AS total, CASE WHEN coalesce(show_switch."count", true) THEN {strict_online('"count"')} END AS web FROM online_samples WHERE bvid IS NOT NULL),
 online AS (SELECT bvid, first(coalesce(total, web) ORDER BY sampled_at DESC, sample_id DESC) AS online FROM samples GROUP BY bvid),
-t1 AS (SELECT g.*, online, least(1.0, pow(2.0::DOUBLE, -age / {days}.0)) AS recency, {sigmoid("online", 500.0, 1.0)} AS heat FROM scored_g g LEFT JOIN online o ON o.bvid = g.key),
+t1 AS (SELECT g.*, online, CASE WHEN age IS NOT NULL THEN least(1.0, pow(2.0::DOUBLE, -age / {days}.0)) END AS recency, {sigmoid("online", 500.0, 1.0)} AS heat FROM scored_g g LEFT JOIN online o ON o.bvid = g.key),
 scored AS (SELECT *, {clamp("0.65 * coalesce(recency, 0.5) + 0.35 * coalesce(heat, 0.5)")} AS timeliness FROM t1)"""
 
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -31,3 +33,10 @@ def spread(df: DataFrame) -> DataFrame:
     as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """df as a stage of its own for the optimizer: expressions above aren't merged with those below, nor filters pushed
+    through it. Without it, the staged formulas of scoring would be substituted into one another and grow
+    exponentially while planning. At run time it only counts rows."""
+    return df.observe(f"stage-{uuid.uuid4().hex}", F.count(F.lit(1)).alias("rows"))

@@ -90,7 +90,8 @@ def split_documents(
     Texts within the limit are one piece; null and empty texts have none.  A piece has at most max_tokens tokens and,
     from the second on, repeats the last overlap_tokens tokens of the one before (up to 3 more where the overlap would
     begin inside a character).  A break counts while it lies in the second half of the window; the best kind wins, then
-    the farthest.  Slices of a valid encoding are valid encodings, so n_tokens is also what the piece alone has.
+    the farthest.  n_tokens counts the document's tokens in the piece; slices of a valid encoding are valid encodings, so
+    the piece alone has as many, or a few less where white space at its end merges.
     Repeated ids are split row by row; max_tokens must exceed overlap_tokens by 8 or more."""
     if max_tokens < overlap_tokens + 8 or overlap_tokens < 0:
         raise ValueError("max_tokens must exceed overlap_tokens by at least 8")

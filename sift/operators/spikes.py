@@ -186,9 +186,10 @@ def flag_spikes(readings: DataFrame, judged: list[str], metrics: list[str] = MET
     known time are judged as numbers only. Series of under four values have no outliers. Readings of equal times are
     ordered by id. An empty table gives an empty result; other columns are ignored."""
     readings = readings.select("reading", "source", "at", *(F.col(m).cast("double").alias(m) for m in metrics))
-    timeless = readings.where(F.col("at").isNull()).select("reading", F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in judged))).alias("c")).select("reading", "c.*")
-    impossible = (F.col("v") < 0) | F.isnan("v") | (F.col("v") >= TOO_LARGE) | (F.col("v") != F.floor("v"))
-    timeless = timeless.where(F.col("v").isNotNull() & impossible).select("reading", "metric", F.lit("impossible").alias("kind"))
+    # NaN is told apart from NULL here, as pandas can't; readings without a time are judged as numbers only.
+    numbers = readings.select("reading", "at", F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in judged))).alias("c")).select("reading", "at", "c.*")
+    impossible = (F.col("v") < 0) | (F.col("v") >= TOO_LARGE) | (F.col("v") != F.floor("v"))
+    numbers = numbers.where(F.col("v").isNotNull() & (F.isnan("v") | (F.col("at").isNull() & impossible))).select("reading", "metric", F.lit("impossible").alias("kind"))
     sharded = shard_by_time(readings.where(F.col("at").isNotNull()), shard_rows, halo)
     tasks = max(1, -(-readings.count() // task_rows))
     slots = 1 + 24 // BUCKET_HOURS
@@ -211,4 +212,4 @@ def flag_spikes(readings: DataFrame, judged: list[str], metrics: list[str] = MET
         return pd.concat(found, ignore_index=True)
 
     schema = f"reading {readings.schema['reading'].dataType.simpleString()}, metric string, kind string"
-    return timeless.unionByName(rows.groupBy("_task").applyInPandas(run, schema))
+    return numbers.unionByName(rows.groupBy("_task").applyInPandas(run, schema))

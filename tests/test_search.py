@@ -153,7 +153,7 @@ def test_history_shards_equal_walk(spark):
 def test_stream_equals_batch(spark, tmp_path):
     from sift.streaming.history import sample_stream
 
-    rows = spark.createDataFrame([("a", 1_800_000 * i // 2, i) for i in range(9)] + [("b", 7, 100), ("b", None, 101)], "source string, at long, reading long")
+    rows = spark.createDataFrame([("a", NOW + 900_000 * i, i) for i in range(9)] + [("b", NOW - 5 * DAY, 100), ("b", None, 101)], "source string, at long, reading long")
     rows.where("reading < 5").coalesce(1).write.parquet(str(tmp_path / "in/1"))
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in/*"))
 

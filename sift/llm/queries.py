@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sift.functions.keys import proper_key
-from sift.functions.text import says_something
+from sift.functions.text import NOTHING, says_something
 from sift.llm.cooccur import co_occurrence
 from sift.llm.encode import encode_corpus
 from sift.llm.looks import known_tags, one_form, same_looks, tag_forms, video_tags, video_texts
 from sift.llm.mix import mix_sources
 from sift.llm.split import split_documents
 from sift.llm.survivor import Bundle, Dependency, surviving_records
+from sift.plans.sql import half
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -128,4 +129,28 @@ def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p3_found": p3_found, "p3_pairs": p3_pairs, "p4_found": p4_found, "p4_survivors": p4_survivors, "p5_found": p5_found, "p5_forms": p5_forms, "p6_ids": p6_ids, "p7_found": p7_found, "p7_report": p7_report, "p7_mix": p7_mix, "p8_found": p8_found, "p8_pieces": p8_pieces}
-ORACLES: dict[str, str] = {}
+
+_BLANK = "\\s\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}"
+_UNSEEN = "[\\x{00AD}\\x{034F}\\x{061C}\\x{115F}\\x{1160}\\x{17B4}\\x{17B5}\\x{180B}-\\x{180F}\\x{200B}-\\x{200F}\\x{202A}-\\x{202E}\\x{2060}-\\x{206F}\\x{3164}\\x{FE00}-\\x{FE0F}\\x{FEFF}\\x{FFA0}]"
+
+
+def _sql_says(x: str) -> str:
+    bare = f"lower(regexp_replace(regexp_replace({half(x)}, '{_UNSEEN}', '', 'g'), '^[{_BLANK}]+|[{_BLANK}]+$', '', 'g'))"
+    return f"coalesce({bare} <> '' AND {bare} NOT IN ({', '.join(repr(n) for n in NOTHING)}), false)"
+
+
+def _sql_number(x: str) -> str:
+    return f"coalesce(({x} > 0 AND NOT isnan({x})) OR ({x} = 0 AND level >= 2), false)"
+
+
+_FIELDS = {"title": _sql_says("title"), "description": _sql_says("description"), "views": _sql_number("stats.views"), "likes": _sql_number("stats.likes")}
+
+ORACLES = {
+    "p4_found": f"""
+WITH k AS (SELECT *, regexp_extract(regexp_replace(regexp_replace({half("bvid")}, '{_UNSEEN}', '', 'g'), '^[{_BLANK}]+|[{_BLANK}]+$', '', 'g'), '^(?:(?:(?:https?:)?//)?[^/\\s]+/video/)?[Bb][Vv]([0-9A-Za-z]{{8,24}})(?:[/?#].*)?$', 1) AS tail,
+  CASE enrichment.detail WHEN 'complete' THEN 3 WHEN 'partial' THEN 2 WHEN 'unavailable' THEN 1 ELSE 0 END AS level FROM videos WHERE record_id IS NOT NULL AND bvid IS NOT NULL),
+v AS (SELECT *, 'BV' || tail AS video FROM k WHERE tail <> ''),
+several AS (SELECT video FROM v GROUP BY video HAVING count(DISTINCT record_id) > 1),
+c AS ({" UNION ALL ".join(f"SELECT video, '{f}' AS field, level, fetched_at, record_id FROM v WHERE {says}" for f, says in _FIELDS.items())})
+SELECT video AS bvid, field, first(record_id ORDER BY level DESC, fetched_at DESC, record_id DESC) AS record_id FROM c SEMI JOIN several USING (video) GROUP BY video, field""",
+}

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,3 +42,18 @@ def stage(df: DataFrame) -> DataFrame:
     through it. Without it, the staged formulas of scoring would be substituted into one another and grow
     exponentially while planning. At run time it only counts rows."""
     return df.observe(f"stage-{uuid.uuid4().hex}", F.count(F.lit(1)).alias("rows"))
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once per session's context, so that they needn't have it
+    installed or share the driver's search path. The archive is served by the driver."""
+    sc = spark.sparkContext
+    if getattr(sc, "_sift_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = os.path.join(tempfile.mkdtemp(prefix="sift-"), "sift_package.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for path in sorted(root.rglob("*.py")):
+            z.write(path, path.relative_to(root.parent).as_posix())
+    sc.addPyFile(archive)
+    sc._sift_shipped = True

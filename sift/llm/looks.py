@@ -20,13 +20,14 @@ from sift.functions.keys import proper_key
 from sift.functions.text import INVISIBLE, per_value, says_something
 from sift.session import cut
 
-# Letters that look like ASCII ones, and those ones (Cyrillic, Armenian, Greek, phonetic, hyphens).
+# Letters that look like ASCII ones, and those ones (Cyrillic, Armenian, Greek, Cherokee, phonetic, hyphens).
 ALIKE = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w",
-    "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "Ѕ": "S", "І": "I", "Ј": "J", "Ԍ": "G", "Ԛ": "Q", "Ԝ": "W", "Ҽ": "E",
+    "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "Ѕ": "S", "І": "I", "Ј": "J", "Ԍ": "G", "Ԛ": "Q", "Ԝ": "W", "Ү": "Y", "ү": "y", "Ѵ": "V", "ѵ": "v", "ӏ": "l", "Ӏ": "I",
     "օ": "o", "ո": "n", "ս": "u", "հ": "h", "Տ": "S", "Օ": "O",
     "ο": "o", "ν": "v", "ρ": "p", "α": "a", "ι": "i", "υ": "u", "κ": "k", "ϲ": "c", "ϳ": "j",
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J",
+    "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭰ": "D", "Ꭼ": "E", "Ꮐ": "G", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P", "Ꭱ": "R", "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮃ": "W", "Ꮓ": "Z",
     "ɡ": "g", "ɑ": "a", "ı": "i", "ⅼ": "l", "‐": "-", "‑": "-", "‒": "-", "−": "-", "﹣": "-",
 }
 _ALIKE = {ord(k): v for k, v in ALIKE.items()}

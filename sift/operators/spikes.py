@@ -1,7 +1,8 @@
 """Implausible readings of counters, judged against the same source's normal behaviour.
 
 1. Each source's readings are put in order of time.  A source with very many readings is cut into time shards at
-   quantiles of its own times; neighbouring shards exchange halo readings, so no task holds a whole hot source.
+   quantiles of its own times; neighbouring shards exchange halo readings, so no task holds a whole hot source. Runs of
+   equal values that cross shards are chained through all of them, so they are judged as in one piece.
 2. Deviations from neighbouring readings give per-source quantile sketches, bucketed by hour of day and merged across
    partitions; their interquartile ranges are the source's normal spread.
 3. A reading is flagged when it leaves the expanded fences on the same side of the readings before and after it (a
@@ -12,6 +13,8 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,6 +23,7 @@ from pyspark.sql import functions as F
 
 from sift.functions.time import HOUR_MS
 from sift.operators.readings import METRICS, shard_by_time
+from sift.session import cut
 
 #: Readings of one source that one shard may hold, halo readings from each side, readings per task.
 SHARD_ROWS, HALO, TASK_ROWS = 20_000, 64, 8_000
@@ -51,14 +55,26 @@ def _side_medians(x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     return med[: len(x)], med[width + 1 : width + 1 + len(x)]
 
 
-def quantum(v: np.ndarray) -> np.ndarray:
-    """The unit to which a source rounds each of its whole numbers, tens or more; 1 if it doesn't."""
-    for digits in (2, 3):
-        unit = np.maximum(10.0, 10.0 ** (np.floor(np.log10(np.maximum(v, 1.0))) + 1 - digits))
-        some = v >= 10
-        if some.sum() >= 4 and (np.mod(v, unit) == 0)[some].mean() >= ROUNDED_SHARE:
-            return unit
-    return np.ones(len(v))
+def _unit(v: np.ndarray, digits: int) -> np.ndarray:
+    """The unit of each value's last digit if that many digits are kept, tens or more; 1 for 0 digits."""
+    return np.maximum(10.0, 10.0 ** (np.floor(np.log10(np.maximum(v, 1.0))) + 1 - digits)) if digits else np.ones(len(v))
+
+
+def round_counts(v: np.ndarray) -> np.ndarray:
+    """How many values could be rounded, and how many have two and three digits; counts of parts of a source add up."""
+    some = v[v >= 10]
+    return np.array([len(some), *((np.mod(some, _unit(some, digits)) == 0).sum() for digits in (2, 3))])
+
+
+def kept_digits(counts: np.ndarray) -> int:
+    """Digits to which a source rounds, by its round_counts; 0 if it doesn't."""
+    return next((digits for digits, n in zip((2, 3), counts[1:]) if counts[0] >= 4 and n / counts[0] >= ROUNDED_SHARE), 0)
+
+
+def quantum(v: np.ndarray, digits: int | None = None) -> np.ndarray:
+    """The unit to which a source rounds each of its whole numbers, tens or more; 1 if it doesn't. digits: those of
+    the whole source where v is a part of it."""
+    return _unit(v, kept_digits(round_counts(v)) if digits is None else digits)
 
 
 def _beyond(y: np.ndarray, floors: np.ndarray, least: float) -> np.ndarray:
@@ -77,13 +93,13 @@ def _beyond(y: np.ndarray, floors: np.ndarray, least: float) -> np.ndarray:
     return hit
 
 
-def outliers(v: np.ndarray, spread: np.ndarray) -> np.ndarray:
+def outliers(v: np.ndarray, spread: np.ndarray, digits: int | None = None) -> np.ndarray:
     """Passing outliers among possible values in order of time. spread: for each value the source's interquartile
-    range of log deviations. Coarse deviations are taken out first, so that they don't bend the neighbours' medians."""
+    range of log deviations; digits: as of quantum. Coarse deviations are taken out first, so that they don't bend the neighbours' medians."""
     n, bad = len(v), np.zeros(len(v), bool)
     if n < 4:
         return bad
-    x, unit = np.log(v + 1.0), quantum(v)
+    x, unit = np.log(v + 1.0), quantum(v, digits)
     floors = np.maximum(np.maximum(spread, 0.002), unit / (v + 1.0))
     if not _beyond(x, floors, LEAST).any():
         return bad
@@ -95,64 +111,112 @@ def outliers(v: np.ndarray, spread: np.ndarray) -> np.ndarray:
     return bad
 
 
-def stuck(v: np.ndarray, possible: np.ndarray, others: np.ndarray, clean: np.ndarray, spread: float) -> np.ndarray:
+def progress(start: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Growth of the other metrics since the start of a run, absolute and relative, at each of the readings."""
+    o, start = others[:, ~np.isnan(start)], start[~np.isnan(start)]
+    grown = np.where(np.isnan(o), 0.0, o - start).sum(axis=1)
+    known = np.where(np.isnan(o), 0.0, start).sum(axis=1)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return grown, np.maximum(np.where(known > 0, grown / known, 0.0), 0.0)
+
+
+def extent(start: np.ndarray, others: np.ndarray) -> list:
+    """[repeats, greatest relative progress, its largest step as (from, to), growth at the end] over repeats of a run."""
+    grown, relative = progress(start, others)
+    if not len(relative):
+        return [0, 0.0, 0.0, 0.0, 0.0]
+    top = np.concatenate([[0.0], np.maximum.accumulate(relative)])
+    k = int(np.argmax(np.diff(top)))
+    return [len(relative), float(top[-1]), float(top[k]), float(top[k + 1]), float(grown[-1])]
+
+
+def joined(one: list, two: list) -> list:
+    """Extent of a run from those of two parts. A step of over half of the whole is the largest of its part, so the
+    largest step is exact wherever it matters."""
+    low, high = max(two[2], one[1]), two[3]
+    step = (low, high) if high - low > one[3] - one[2] else (one[2], one[3])
+    return [one[0] + two[0], max(one[1], two[1]), *step, two[4] if two[0] else one[4]]
+
+
+def _stuck_repeats(value: float, start: np.ndarray, relative: np.ndarray, run: list, after: tuple | None, unit: float, spread: float) -> np.ndarray:
+    """Which repeats of a run are stuck. relative: the greatest relative progress up to each of them; run: extent of the
+    whole run; after: (value, other metrics) of the reading that ends it."""
+    repeats, top, low, high, steps = run
+    if repeats < LEAST_REPEATS or value <= 0 or not np.nansum(start) > 0:
+        return np.zeros(len(relative), bool)
+    moved, last = value * relative, value * top
+    strict = max(12.0, 3.0 * unit, 4.0 * spread * value)
+    if after is not None:
+        rise, total = after[0] - value, value * max(top, float(progress(start, after[1][None])[1][0]))
+        capped = lambda m: np.minimum(m, rise * (m / total if total > 0 else 0.0 * m))
+        moved, last = capped(moved), capped(last)
+        enough = last >= max(6.0, 1.6 * unit, 2.0 * spread * value)
+    else:
+        enough = last >= strict and value * high - value * low <= 0.6 * last  # one jump of the others is no progress
+    if repeats == LEAST_REPEATS:
+        enough = enough and last >= strict
+    return moved >= max(1.0, 0.5 * unit) if enough and steps >= 6 else np.zeros(len(relative), bool)
+
+
+def _runs(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last positions of the runs of equal values."""
+    edges = np.flatnonzero(np.diff(w) != 0)
+    return np.concatenate([[0], edges + 1]), np.concatenate([edges, [len(w) - 1]])
+
+
+def stuck(v: np.ndarray, possible: np.ndarray, others: np.ndarray, clean: np.ndarray, spread: float, around: dict | None = None) -> np.ndarray:
     """Repeats of a value while the counter must have moved on.
 
     others: readings x other metrics (NaN unknown). A run of equal values is stuck if its value times the relative
     growth of the other metrics over the run, and the catching-up at the reading after it in proportion to the other
-    metrics' progress, both exceed what counting noise and rounding explain."""
+    metrics' progress, both exceed what counting noise and rounding explain. around: of a shard, what lies beyond its
+    ends (_around); None for a whole series."""
     flagged = np.zeros(len(v), bool)
     at = np.flatnonzero(possible & clean)
-    if len(at) < 3:
+    if not len(at) or around is None and len(at) < 3:
         return flagged
-    w, unit = v[at], quantum(v[at])
-    edges = np.flatnonzero(np.diff(w) != 0)
-    starts, ends = np.concatenate([[0], edges + 1]), np.concatenate([edges, [len(w) - 1]])
+    w, unit = v[at], quantum(v[at], around and around["digits"])
+    starts, ends = _runs(w)
     for a, b in zip(starts, ends):
-        if b - a < LEAST_REPEATS or w[a] <= 0:
-            continue
-        span = at[a : b + 2] if b + 1 < len(w) else at[a : b + 1]
-        o = others[span]
-        usable = ~np.isnan(o[0])
-        o = np.where(np.isnan(o), np.nan, o)[:, usable]
-        if not o.shape[1]:
+        head = around["head"] if around and a == 0 else None  # a run that began before this shard
+        start = np.array(head["start"]) if head else others[at[a]]
+        mine = at[a if head else a + 1 : b + 1]
+        if not len(mine):
             continue
-        base = o[0].sum()
-        grown = np.where(np.isnan(o), 0.0, o - o[0]).sum(axis=1)
-        known = np.where(np.isnan(o), 0.0, o[0]).sum(axis=1)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            relative = np.where(known > 0, grown / known, 0.0)
-        reps = b - a
-        moved = w[a] * np.maximum.accumulate(np.maximum(relative, 0.0))
-        steps = grown[reps]
-        last = moved[reps]
-        if b + 1 < len(w):
-            rise = w[b + 1] - w[a]
-            total = moved[reps + 1]
-            share = moved[: reps + 1] / total if total > 0 else np.zeros(reps + 1)
-            moved = np.minimum(moved[: reps + 1], rise * share)
-            last = moved[reps]
-            enough = last >= max(6.0, 1.6 * unit[a], 2.0 * spread * w[a])
-        else:
-            enough = last >= max(12.0, 3.0 * unit[a], 4.0 * spread * w[a])
-            enough = enough and np.diff(moved[: reps + 1]).max() <= 0.6 * last  # one jump of the others is no progress
-        if reps == LEAST_REPEATS:
-            enough = enough and last >= max(12.0, 3.0 * unit[a], 4.0 * spread * w[a])
-        if base > 0 and enough and steps >= 6:
-            flagged[at[a + 1 : b + 1]] = moved[1 : reps + 1] >= max(1.0, 0.5 * unit[a])
+        relative = np.maximum.accumulate(progress(start, others[mine])[1])
+        run, after = extent(start, others[mine]), (w[b + 1], others[at[b + 1]]) if b + 1 < len(w) else None
+        if head:
+            relative, run = np.maximum(relative, head["before"][1]), joined(head["before"], run)
+        if around and after is None:
+            run = joined(run, around["rest"])
+            after = around["after"] and (around["after"][0], np.array(around["after"][1]))
+        flagged[mine] = _stuck_repeats(w[a], start, relative, run, after, unit[a], spread)
     return flagged
 
 
+def cleaned(values: np.ndarray, hours: np.ndarray, spreads: np.ndarray, digits: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(possible, clean): readings x metrics masks of the numbers a counter can have, and of those no outliers.
+
+    hours: bucket of the day of each reading. spreads: metrics x (whole day, then each bucket). digits: of each metric,
+    as of quantum."""
+    possible = _possible(values)
+    clean = np.zeros(values.shape, bool)
+    for k in range(values.shape[1]):
+        at = np.flatnonzero(possible[:, k])
+        clean[at, k] = ~outliers(values[at, k], np.maximum(spreads[k, 0], spreads[k, 1 + hours[at]]), None if digits is None else int(digits[k]))
+    return possible, clean
+
+
+def _possible(values: np.ndarray) -> np.ndarray:
+    with np.errstate(invalid="ignore"):
+        return (values >= 0) & (values < TOO_LARGE) & (values == np.floor(values))
+
+
 def judge(values: np.ndarray, hours: np.ndarray, metrics: list[str], judged: list[str], spreads: np.ndarray) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For each judged metric of one source's ordered readings: (impossible, outlier, stuck) masks.
 
     hours: bucket of the day of each reading. spreads: metrics x (whole day, then each bucket)."""
-    with np.errstate(invalid="ignore"):
-        possible = (values >= 0) & (values < TOO_LARGE) & (values == np.floor(values))
-    clean = np.zeros(values.shape, bool)
-    for k in range(len(metrics)):
-        at = np.flatnonzero(possible[:, k])
-        clean[at, k] = ~outliers(values[at, k], np.maximum(spreads[k, 0], spreads[k, 1 + hours[at]]))
+    possible, clean = cleaned(values, hours, spreads)
     out, usable = {}, np.where(clean, values, np.nan)
     for name in judged:
         k = metrics.index(name)
@@ -178,6 +242,151 @@ def spreads(sharded: DataFrame, metrics: list[str]) -> DataFrame:
     return some.groupBy("source").agg(entry.alias("_e")).select("source", full.alias("spreads"))
 
 
+def _edges(w: np.ndarray, others: np.ndarray) -> dict | None:
+    """Of a shard's clean values in order: its first reading, the first that differs from it, and the value and start of
+    its last run, each as (value, other metrics); None without values."""
+    if not len(w):
+        return None
+    starts, _ = _runs(w)
+    row = lambda i: [float(w[i]), others[i].tolist()]
+    return {"counts": round_counts(w).tolist(), "first": row(0), "differs": row(starts[1]) if len(starts) > 1 else None, "last": row(starts[-1])}
+
+
+def _around(edges: list[dict | None]) -> list[dict | None]:
+    """For each shard of a source in order what surrounds it: digits, where the run it begins in started (head, if one
+    goes on), and the reading that ends its last run (after)."""
+    out: list[dict | None] = [None] * len(edges)
+    digits = kept_digits(np.sum([e["counts"] for e in edges if e], axis=0)) if any(edges) else 0
+    open_ = None
+    for i, e in enumerate(edges):
+        if e:
+            goes_on = open_ is not None and open_[0] == e["first"][0]
+            out[i] = {"digits": digits, "head": {"start": open_[1]} if goes_on else None}
+            open_ = open_ if goes_on and not e["differs"] else e["last"]
+    first = differs = None  # the first reading after a shard, and the first after it that differs from that one
+    for i in range(len(edges) - 1, -1, -1):
+        if e := edges[i]:
+            out[i]["after"] = first if first and first[0] != e["last"][0] else differs
+            differs = e["differs"] or (first if first and first[0] != e["first"][0] else differs)
+            first = e["first"]
+    return out
+
+
+def _extents(w: np.ndarray, others: np.ndarray, around: dict | None) -> dict | None:
+    """Extents of a shard's part of the run that goes on from before (head) and of the run that it leaves open (tail);
+    through: whether they are one run."""
+    if around is None:
+        return None
+    starts, ends = _runs(w)
+    head, through = around["head"], bool(around["head"]) and len(starts) == 1
+    return {
+        "head": extent(np.array(head["start"]), others[: ends[0] + 1]) if head else None, "through": through,
+        "tail": None if through else extent(others[starts[-1]], others[starts[-1] + 1 :]),
+    }
+
+
+def _measured(around: list[dict | None], extents: list[dict | None]) -> list[dict | None]:
+    """around with the extents of the open runs before each shard (head's before) and after it (rest)."""
+    none = [0, 0.0, 0.0, 0.0, 0.0]
+    before, rest = none, none
+    for a, e in zip(around, extents):
+        if e:
+            if a["head"]:
+                a["head"]["before"] = before
+            before = joined(before, e["head"]) if e["through"] else e["tail"]
+    for a, e in zip(reversed(around), reversed(extents)):
+        if e:
+            a["rest"] = rest
+            rest = (joined(e["head"], rest) if e["through"] else e["head"]) if e["head"] else none
+    return around
+
+
+def _stuck_across_shards(clean: DataFrame, judged: list[str], metrics: list[str], found: str) -> DataFrame:
+    """(reading, metric, kind) of the stuck readings of sources in several shards, as if each source were one.
+
+    clean: (source, shard, at, reading, usable array<double>, spread array<double>), each shard's own readings. Shards
+    tell about their ends, a source's shards are chained (a few numbers a shard), twice: where the runs that cross
+    boundaries start and end, then how far they go."""
+    kinds = clean.schema["source"].dataType.simpleString()
+    by, of = ["source", "shard"], f"source {kinds}, shard int, told string"
+
+    def series(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, dict]:
+        pdf = pdf.sort_values(["at", "reading"], kind="stable", ignore_index=True)
+        values = np.array(pdf["usable"].tolist(), float).reshape(len(pdf), len(metrics))
+        return pdf, values, {m: (metrics.index(m), [j for j in range(len(metrics)) if metrics[j] != m]) for m in judged}
+
+    def told(key: tuple, what: dict) -> pd.DataFrame:
+        return pd.DataFrame({"source": [key[0]], "shard": [key[1]], "told": [json.dumps(what)]})
+
+    def ends(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        _, values, which = series(pdf)
+        has = ~np.isnan(values)
+        return told(key, {m: _edges(values[has[:, k], k], values[has[:, k]][:, rest]) for m, (k, rest) in which.items()})
+
+    def extents(key: tuple, pdf: pd.DataFrame, context: pd.DataFrame) -> pd.DataFrame:
+        _, values, which = series(pdf)
+        has, around = ~np.isnan(values), json.loads(context["told"].iloc[0])
+        return told(key, {m: [around[m], _extents(values[has[:, k], k], values[has[:, k]][:, rest], around[m])] for m, (k, rest) in which.items()})
+
+    def chained(step):
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("shard", ignore_index=True)
+            each = [json.loads(t) for t in pdf["told"]]
+            out = {m: step([e[m] for e in each]) for m in judged}
+            return pdf.assign(told=[json.dumps({m: out[m][i] for m in judged}) for i in range(len(pdf))])
+
+        return run
+
+    def flags(key: tuple, pdf: pd.DataFrame, context: pd.DataFrame) -> pd.DataFrame:
+        pdf, values, which = series(pdf)
+        around, out = json.loads(context["told"].iloc[0]), []
+        for m, (k, rest) in which.items():
+            if around[m]:
+                has = ~np.isnan(values[:, k])
+                hit = stuck(values[:, k], has, values[:, rest], has, pdf["spread"].iloc[0][k], around[m])
+                out.append(pd.DataFrame({"reading": pdf["reading"][hit], "metric": m, "kind": "stuck"}))
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"reading": pdf["reading"][:0], "metric": "", "kind": ""})
+
+    context = cut(clean.groupBy(by).applyInPandas(ends, of).groupBy("source").applyInPandas(chained(_around), of))
+    context = clean.groupBy(by).cogroup(context.groupBy(by)).applyInPandas(extents, of)
+    context = cut(context.groupBy("source").applyInPandas(chained(lambda each: _measured([a for a, _ in each], [e for _, e in each])), of))
+    return clean.groupBy(by).cogroup(context.groupBy(by)).applyInPandas(flags, found)
+
+
+def _flag_hot(readings: DataFrame, judged: list[str], metrics: list[str], shard_rows: int, halo: int, found: str) -> DataFrame:
+    """flag_spikes of sources of more than shard_rows readings of known time."""
+    kind = {c: readings.schema[c].dataType.simpleString() for c in ("reading", "source")}
+    sharded = cut(shard_by_time(readings, shard_rows, halo))  # its cuts are of a sketch, which may differ from run to run
+    slots = 1 + 24 // BUCKET_HOURS
+
+    def counts(batches):
+        for pdf in batches:
+            for source, rows in pdf.groupby("source"):
+                values = rows[metrics].to_numpy(float)
+                yield pd.DataFrame([(source, k, *round_counts(v[_possible(v)]).tolist()) for k, v in enumerate(values.T)], columns=["source", "k", "n0", "n1", "n2"])
+
+    rounded = sharded.where("not halo").mapInPandas(counts, f"source {kind['source']}, k int, n0 long, n1 long, n2 long").groupBy("source", "k").agg(*(F.sum(f"n{i}").alias(f"n{i}") for i in range(3)))
+    rounded = rounded.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("k", "n0", "n1", "n2"))).alias("rounded"))
+
+    def clean(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["at", "reading"], kind="stable", ignore_index=True)
+        values, own = pdf[metrics].to_numpy(float), pdf["spreads"].iloc[0]
+        table = np.zeros((len(metrics), slots)) if own is None else np.asarray(own, float).reshape(len(metrics), slots)
+        digits = np.array([kept_digits(np.array([r["n0"], r["n1"], r["n2"]])) for r in pdf["rounded"].iloc[0]])
+        hours = (pdf["at"].to_numpy() % (24 * HOUR_MS) // (BUCKET_HOURS * HOUR_MS)).astype(int)
+        possible, fine = cleaned(values, hours, table, digits)
+        usable, at = np.where(fine, values, np.nan), [metrics.index(m) for m in judged]
+        wrong = np.where(possible, np.where(fine, "", "outlier"), np.where(np.isnan(values), "", "impossible"))[:, at]
+        out = pdf[["source", "shard", "at", "reading"]].assign(usable=list(usable), spread=[table[:, 0]] * len(pdf), wrong=wrong.tolist())
+        return out[~pdf["halo"].to_numpy(bool)]
+
+    schema = f"source {kind['source']}, shard int, at long, reading {kind['reading']}, usable array<double>, spread array<double>, wrong array<string>"
+    cleaned_ = cut(sharded.join(spreads(sharded, metrics), "source", "left").join(rounded, "source").groupBy("source", "shard").applyInPandas(clean, schema))
+    wrong = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col("wrong")[i].alias("kind")) for i, m in enumerate(judged))))
+    single = cleaned_.select("reading", wrong.alias("c")).select("reading", "c.*").where("kind <> ''")
+    return single.unionByName(_stuck_across_shards(cleaned_.drop("wrong"), judged, metrics, found))
+
+
 def flag_spikes(readings: DataFrame, judged: list[str], metrics: list[str] = METRICS, shard_rows: int = SHARD_ROWS, halo: int = HALO, task_rows: int = TASK_ROWS) -> DataFrame:
     """(reading, metric, kind) of every implausible stored value; kind: impossible, outlier or stuck.
 
@@ -190,8 +399,16 @@ def flag_spikes(readings: DataFrame, judged: list[str], metrics: list[str] = MET
     numbers = readings.select("reading", "at", F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in judged))).alias("c")).select("reading", "at", "c.*")
     impossible = (F.col("v") < 0) | (F.col("v") >= TOO_LARGE) | (F.col("v") != F.floor("v"))
     numbers = numbers.where(F.col("v").isNotNull() & (F.isnan("v") | (F.col("at").isNull() & impossible))).select("reading", "metric", F.lit("impossible").alias("kind"))
-    sharded = shard_by_time(readings.where(F.col("at").isNotNull()), shard_rows, halo)
-    tasks = max(1, -(-readings.count() // task_rows))
+    schema = f"reading {readings.schema['reading'].dataType.simpleString()}, metric string, kind string"
+    dated = readings.where(F.col("at").isNotNull())
+    sizes = dated.groupBy("source").agg(F.count(F.lit(1)).alias("_n"))
+    total, most = sizes.agg(F.sum("_n"), F.max(F.when(F.col("source").isNotNull(), F.col("_n")))).first()
+    if (most or 0) > shard_rows:
+        hot = cut(sizes.where(F.col("source").isNotNull() & (F.col("_n") > shard_rows)).select("source"))
+        numbers = numbers.unionByName(_flag_hot(dated.join(hot, "source", "left_semi"), judged, metrics, shard_rows, halo, schema))
+        dated = dated.join(hot, "source", "left_anti")
+    sharded = dated.withColumns({"shard": F.lit(0), "halo": F.lit(False)})
+    tasks = max(1, -(-(total or 0) // task_rows))
     slots = 1 + 24 // BUCKET_HOURS
     rows = sharded.join(spreads(sharded, metrics), "source", "left").withColumn("_task", F.pmod(F.xxhash64("source", "shard"), F.lit(tasks)))
 
@@ -201,15 +418,14 @@ def flag_spikes(readings: DataFrame, judged: list[str], metrics: list[str] = MET
         bounds = np.append(np.flatnonzero(new.to_numpy()), len(pdf))
         values = pdf[metrics].to_numpy(float)
         hours = (pdf["at"].to_numpy() % (24 * HOUR_MS) // (BUCKET_HOURS * HOUR_MS)).astype(int)
-        halo_, found = pdf["halo"].to_numpy(bool), []
+        found = []
         for a, b in zip(bounds, bounds[1:]):
             own = pdf["spreads"].iloc[a]
             table = np.zeros((len(metrics), slots)) if own is None else np.asarray(own, float).reshape(len(metrics), slots)
             for name, masks in judge(values[a:b], hours[a:b], metrics, judged, table).items():
                 for kind, mask in zip(("impossible", "outlier", "stuck"), masks):
-                    at = a + np.flatnonzero(mask & ~halo_[a:b])
+                    at = a + np.flatnonzero(mask)
                     found.append(pd.DataFrame({"reading": pdf["reading"].to_numpy()[at], "metric": name, "kind": kind}))
         return pd.concat(found, ignore_index=True)
 
-    schema = f"reading {readings.schema['reading'].dataType.simpleString()}, metric string, kind string"
     return numbers.unionByName(rows.groupBy("_task").applyInPandas(run, schema))

@@ -62,6 +62,26 @@ def test_spikes_empty_short_and_sharded(spark):
     assert found(spark, series("h", views), shard_rows=100, halo=20) == whole == {(i, "views", "outlier") for i in (50, 199, 200, 201, 333)}
 
 
+def test_runs_across_shards_are_judged_whole(spark):
+    # The reviewer's case: 10 counts of true movement over 200 equal readings; then runs over several whole shards, at
+    # the end of the series, with one jump of the others, and of a source that only as a whole counts as rounded.
+    def source(name, views, others, first_id):
+        return [(first_id + i, name, T0 + i * HOUR, float(v), 5.0, *(float(o + k) for k in range(5)), "x") for i, (v, o) in enumerate(zip(views, others))]
+
+    grow, n = [1000 + i // 20 for i in range(600)], 600
+    cases = {
+        "crossing": ([v if not 200 <= i < 400 else 1010 for i, v in enumerate(grow)], [1000 + i // 20 for i in range(n)]),
+        "long": ([1000 + 3 * min(i, 110) if i < 480 else 1000 + 3 * i for i in range(n)], [1000 + 3 * i for i in range(n)]),
+        "open": ([1000 + 3 * min(i, 180) for i in range(n)], [1000 + 3 * i for i in range(n)]),
+        "jump": ([1000 + 3 * min(i, 180) for i in range(n)], [1000 + 3 * min(i, 180) + (900 if i > 420 else 0) for i in range(n)]),
+        "rounded": ([(20_000 + 13 * i) // 100 * 100 if i > 50 else 20_001 + 13 * i for i in range(n)], [20_000 + 13 * i for i in range(n)]),
+    }
+    rows = [r for k, (name, (v, o)) in enumerate(cases.items()) for r in source(name, v, o, 1000 * k)]
+    whole = found(spark, rows)
+    assert {r // 1000 for r, m, kind in whole if (m, kind) == ("views", "stuck")} == {0, 1, 2} and len(whole) > 600
+    assert found(spark, rows, shard_rows=100, halo=20) == whole == found(spark, rows, shard_rows=250, halo=64)
+
+
 def test_shards_cover_rows_once(spark):
     rows = spark.createDataFrame([("h", i, i) for i in range(1000)] + [("c", 1, 1)], "source string, at long, v int")
     s = shard_by_time(rows, 100, 3)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sift.operators.grid import regular_grid
 from sift.operators.readings import snapshot_readings
 from sift.operators.spikes import flag_spikes
+from sift.session import cut
 
 
 def _readings(spark: SparkSession, d: str) -> DataFrame:
@@ -27,7 +28,8 @@ def p2_grid(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return p2_grid(spark, d).where(F.col("n_readings") == 0).select("bvid", "slot_ms")
+    # The grid is written whole: else the optimizer drops the interpolation, as these two columns don't need it.
+    return cut(p2_grid(spark, d)).where(F.col("status") != "read").select("bvid", "slot_ms")
 
 
 QUERIES = {"p1_found": p1_found, "p1_flags": p1_flags, "p2_found": p2_found, "p2_grid": p2_grid}

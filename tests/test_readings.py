@@ -142,3 +142,16 @@ def test_snapshot_readings(spark):
     rows = [(1, "a", ms - 5, s, when), (1, "a", ms - 5, s, when + dt.timedelta(days=1)), (2, "a", (ms - 5000) // 1000, s, when), (3, "a", ms + 1, s, when), (4, "a", 0, None, when), (5, None, ms, s, when), (None, "a", ms, s, when), (6, "a", None, s, when)]
     got = {r.reading: (r.at, r.views) for r in snapshot_readings(spark.createDataFrame(rows, kind)).collect()}
     assert got == {1: (ms - 5, 1.0), 2: (ms - 5000, 1.0), 3: (None, 1.0), 4: (None, None), 6: (None, 1.0)}
+
+
+def test_p2_found_interpolates(spark, tmp_path, monkeypatch):
+    from sift.operators import grid
+    from sift.plans.quality import p2_found
+
+    stats = "named_struct('views', {0}D, 'likes', 1D, 'favorites', 1D, 'coins', 1D, 'replies', 1D, 'danmaku', 1D, 'shares', 1D)"
+    row = "select {0}L as snapshot_id, 'a' as bvid, {1}L as capturedAt, " + stats + " as stats, timestamp_ntz'2030-01-01 00:00:00' as received_at"
+    spark.sql(" union all ".join(row.format(i, T0 + h * HOUR) for i, h in enumerate((0, 3, 30, 31)))).write.parquet(f"{tmp_path}/snapshots.parquet")
+    assert sorted((r.slot_ms - T0) // HOUR for r in p2_found(spark, str(tmp_path)).collect()) == [1, 2, *range(4, 30)]
+    monkeypatch.setattr(grid, "_slope", lambda *a: F.raise_error(F.lit("slopes are computed")).cast("double"))
+    with pytest.raises(Exception, match="slopes are computed"):
+        p2_found(spark, str(tmp_path)).collect()

@@ -58,12 +58,14 @@ def successors(classes: np.ndarray, max_tokens: int, overlap: int) -> tuple[np.n
     start[0] = 0
     limit = np.minimum(start + max_tokens, n)
     chosen = np.full(n + 1, -1)
-    floor = np.maximum(at, start + max_tokens // 2)
-    for kind in range(len(BREAKS)):
+    half = np.maximum(at, start + max_tokens // 2)
+    # Natural breaks in the second half, then in the first where the next piece still starts later, then any other.
+    natural = range(BREAKS.index("piece"))
+    for kind, floor in [*((k, half) for k in natural), *((k, np.maximum(at, start + overlap)) for k in natural), (BREAKS.index("piece"), half), (BREAKS.index("character"), at)]:
         of = np.flatnonzero(classes <= kind)
         k = np.searchsorted(of, limit, "right") - 1
         far = np.where(k >= 0, of[np.maximum(k, 0)], -1)
-        ok = (chosen < 0) & (far > (floor if kind < len(BREAKS) - 1 else at))
+        ok = (chosen < 0) & (far > floor)
         chosen[ok] = far[ok]
     chosen[limit == n] = n
     return np.where(chosen > at, chosen, n if n else 0), start
@@ -89,8 +91,8 @@ def split_documents(
 
     Texts within the limit are one piece; null and empty texts have none.  A piece has at most max_tokens tokens and,
     from the second on, repeats the last overlap_tokens tokens of the one before (up to 3 more where the overlap would
-    begin inside a character).  A break counts while it lies in the second half of the window; the best kind wins, then
-    the farthest.  n_tokens counts the document's tokens in the piece; slices of a valid encoding are valid encodings, so
+    begin inside a character).  Of the breaks in the second half of the window the best kind wins, then the farthest; where
+    there are only pieces and characters, the best natural break of the first half comes before them.  n_tokens counts the document's tokens in the piece; slices of a valid encoding are valid encodings, so
     the piece alone has as many, or a few less where white space at its end merges.
     Repeated ids are split row by row; max_tokens must exceed overlap_tokens by 8 or more."""
     if max_tokens < overlap_tokens + 8 or overlap_tokens < 0:

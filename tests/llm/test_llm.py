@@ -124,6 +124,17 @@ def test_split_doubling_equals_greedy():
     assert np.flatnonzero(cuts(succ, np.array([0]))).tolist() == walk
 
 
+def test_split_prefers_an_early_natural_break():
+    from sift.llm.split import successors
+
+    classes = np.full(3001, 5, np.int8)
+    classes[0], classes[900], classes[2100] = 0, 2, 2
+    succ, start = successors(classes, 2000, 100)  # a run of 1,200 tokens after a sentence's end at 900
+    assert (succ[0], start[900], succ[900]) == (900, 800, 2100)
+    classes[900], classes[50] = 5, 2  # a break within the overlap is no progress
+    assert successors(classes, 2000, 100)[0][0] == 2000
+
+
 # ---- mixing -----------------------------------------------------------------------------------------------------
 
 

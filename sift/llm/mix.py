@@ -110,8 +110,9 @@ def mix_sources(docs: DataFrame, targets: DataFrame, seed: int = 7, path: str |
     for part in parts[1:]:
         decided = decided.unionByName(part.select(decided.columns))
     draws = decided.select("source", "doc_id", "n_tokens", (F.col("copies") + F.col("p").cast("int")).alias("copies")).where(F.col("copies") > 0)
+    draws = cut(draws)  # the report is of these very draws, and readers of a few of its columns don't drop them
     used = draws.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens_drawn"), F.count(F.lit(1)).alias("docs_drawn"), F.max("copies").alias("most_repeats"))
     report = plan.join(used, "source", "left").fillna(0, ["tokens_drawn", "docs_drawn", "most_repeats"])
     drawn = F.sum("tokens_drawn").over(W.partitionBy())  # over one row per target source
     shares = [F.when(whole > 0, F.col("tokens_drawn") / whole) for whole in (F.col("tokens_total"), drawn)]
-    return draws, report.withColumns({"share_of_total": shares[0], "share_of_mix": shares[1]})
+    return draws, cut(report.withColumns({"share_of_total": shares[0], "share_of_mix": shares[1]}))

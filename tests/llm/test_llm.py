@@ -173,6 +173,25 @@ def test_mix(spark):
     assert none[0].count() == 0 and none[1].where("short").count() == 0
 
 
+def test_p7_found_draws(spark, tmp_path, monkeypatch):
+    from sift.llm import mix
+    from sift.llm.queries import p7_found
+
+    spark.createDataFrame([(i, "some words here", "a" if i else "b") for i in range(9)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], "source string, target_share double, max_repeats int").write.parquet(f"{tmp_path}/mix_targets.parquet")
+    assert [r.source for r in p7_found(spark, str(tmp_path)).collect()] == ["b"]
+
+    def refuse(seed, last):
+        def run(pdf):
+            raise ValueError("rounding is run")
+
+        return run
+
+    monkeypatch.setattr(mix, "_node", refuse)
+    with pytest.raises(Exception, match="rounding is run"):
+        p7_found(spark, str(tmp_path)).collect()
+
+
 # ---- looks ------------------------------------------------------------------------------------------------------
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sift.functions.keys import proper_key
@@ -12,7 +12,7 @@ from sift.llm.encode import encode_corpus
 from sift.llm.looks import known_tags, one_form, same_looks, tag_forms, video_tags, video_texts
 from sift.llm.mix import mix_sources
 from sift.llm.split import split_documents
-from sift.llm.survivor import Bundle, Dependency, surviving_records
+from sift.llm.survivor import Bundle, Dependency, chosen_records, dependency_support, surviving_records
 from sift.plans.sql import half
 
 
@@ -43,42 +43,62 @@ def p3_pairs(spark: SparkSession, d: str) -> DataFrame:
     return _tag_pairs(spark, d, 1)
 
 
-def _survivors(spark: SparkSession, d: str, every: bool) -> DataFrame:
+def _video_records(spark: SparkSession, d: str) -> tuple[DataFrame, Column, Column]:
+    """(videos with their key, trust level, time of the values)."""
     videos = _table(spark, d, "videos").withColumn("video", proper_key(F.col("bvid")))
     detail = F.col("enrichment.detail")
     level = F.when(detail == "complete", 3).when(detail == "partial", 2).when(detail == "unavailable", 1).otherwise(0)
+    return videos, level, F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', fetched_at)")
+
+
+def _video_bundles(level: Column) -> tuple[list[Bundle], list[Dependency]]:
+    """Title, description, views and likes are each decided as TESTDATA.md has it, so they are bundles of their own and
+    come first; the reading's other counters go with the views they were read with, and the running time with the
+    publication (both hold throughout the data, see p4_dependencies)."""
+    rest = ["favorites", "coins", "shares", "replies", "danmaku"]
 
     def number(name: str) -> Bundle:
         v = F.col(f"stats.{name}")
         return Bundle(name, {name: v}, F.coalesce((v > 0) & ~F.isnan(v) | (v == 0) & (level >= 2), F.lit(False)))
 
-    def text(name: str) -> Bundle:
-        return Bundle(name, {name: F.col(name)}, says_something(F.col(name)))
-
-    bundles = [text("title"), text("description"), number("views"), number("likes")]
-    deps = []
-    if every:
-        rest = ["favorites", "coins", "shares", "replies", "danmaku"]
-        some = F.coalesce(*(F.when(F.col(f"stats.{m}") >= 0, F.lit(True)) for m in rest), F.lit(False))
-        bundles += [
-            Bundle("counters", {m: F.col(f"stats.{m}") for m in rest}, some),
-            Bundle("author", {"name": F.col("author.name"), "mid": F.col("author.mid")}, F.col("author.mid").isNotNull()),
-            Bundle("publication", {"publishedAt": F.col("publishedAt"), "category": F.col("category")}, F.coalesce(F.col("publishedAt") > 0, F.lit(False))),
-            Bundle("enrichment", {c: F.col(f"enrichment.{c}") for c in ("detail", "detailSource", "pageCount")}, detail.isNotNull()),
-            Bundle("duration", {"durationText": F.col("durationText")}, says_something(F.col("durationText"))),
-        ]
-        deps = [Dependency("enrichment", "duration")]  # a page count belongs to a running time
-    return surviving_records(videos, "video", "record_id", level, F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', fetched_at)"), bundles, deps)
+    def text(name: str, tier: int = 0) -> Bundle:
+        return Bundle(name, {name: F.col(name)}, says_something(F.col(name)), tier)
+
+    some = F.coalesce(*(F.when(F.col(f"stats.{m}") >= 0, F.lit(True)) for m in rest), F.lit(False))
+    bundles = [
+        text("title"), text("description"), number("views"), number("likes"),
+        Bundle("counters", {m: F.col(f"stats.{m}") for m in rest}, some, 1),
+        Bundle("author", {"name": F.col("author.name"), "mid": F.col("author.mid")}, F.col("author.mid").isNotNull(), 1),
+        Bundle("publication", {"publishedAt": F.col("publishedAt"), "category": F.col("category")}, F.coalesce(F.col("publishedAt") > 0, F.lit(False)), 1),
+        Bundle("enrichment", {c: F.col(f"enrichment.{c}") for c in ("detail", "detailSource", "pageCount")}, F.col("enrichment.detail").isNotNull(), 1),
+        text("durationText", 1), Bundle("tags", {"tags": F.col("tags")}, F.coalesce(F.size("tags") > 0, F.lit(False)), 1),
+    ]
+    return bundles, [Dependency("views", "counters"), Dependency("publication", "durationText")]
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    best = _survivors(spark, d, False).where("first_record <> last_record")
-    rows = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"{f}.record").alias("record_id")) for f in ("title", "description", "views", "likes"))))
+    """Read from the search that decides the four fields with the counters that depend on the views."""
+    videos, level, time = _video_records(spark, d)
+    bundles, deps = _video_bundles(level)
+    best = chosen_records(videos, "video", "record_id", level, time, bundles[:5], deps[:1]).where("first_record <> last_record")
+    rows = F.explode(F.array(*(F.struct(F.lit(b.name).alias("field"), F.col(f"{b.name}.record").alias("record_id")) for b in bundles[:4])))
     return best.select(F.col("video").alias("bvid"), rows.alias("r")).select("bvid", "r.*").where(F.col("record_id").isNotNull())
 
 
 def p4_survivors(spark: SparkSession, d: str) -> DataFrame:
-    return _survivors(spark, d, True)
+    videos, level, time = _video_records(spark, d)
+    return surviving_records(videos, "video", "record_id", level, time, *_video_bundles(level))
+
+
+def p4_dependencies(spark: SparkSession, d: str) -> DataFrame:
+    """How far the dependencies between bundles, and two that are not used, hold in the data."""
+    c = {n: F.col(n) for n in ("title", "description", "publishedAt", "durationText")}
+    reading = F.struct(*(F.col(f"stats.{m}") for m in ("favorites", "coins", "shares", "replies", "danmaku")))
+    videos = _video_records(spark, d)[0].dropDuplicates(["record_id"])
+    return dependency_support(videos, "video", {
+        "author.mid -> author.name": (F.col("author.mid"), F.col("author.name")), "publishedAt -> durationText": (c["publishedAt"], c["durationText"]),
+        "views -> counters": (F.when(F.col("stats.views") > 0, F.col("stats.views")), reading), "title -> description": (c["title"], c["description"]),
+    })
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -128,7 +148,7 @@ def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_documents(_table(spark, d, "documents"), *_limits(spark, d))
 
 
-QUERIES = {"p3_found": p3_found, "p3_pairs": p3_pairs, "p4_found": p4_found, "p4_survivors": p4_survivors, "p5_found": p5_found, "p5_forms": p5_forms, "p6_ids": p6_ids, "p7_found": p7_found, "p7_report": p7_report, "p7_mix": p7_mix, "p8_found": p8_found, "p8_pieces": p8_pieces}
+QUERIES = {"p3_found": p3_found, "p3_pairs": p3_pairs, "p4_found": p4_found, "p4_survivors": p4_survivors, "p4_dependencies": p4_dependencies, "p5_found": p5_found, "p5_forms": p5_forms, "p6_ids": p6_ids, "p7_found": p7_found, "p7_report": p7_report, "p7_mix": p7_mix, "p8_found": p8_found, "p8_pieces": p8_pieces}
 
 _BLANK = "\\s\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}"
 _UNSEEN = "[\\x{00AD}\\x{034F}\\x{061C}\\x{115F}\\x{1160}\\x{17B4}\\x{17B5}\\x{180B}-\\x{180F}\\x{200B}-\\x{200F}\\x{202A}-\\x{202E}\\x{2060}-\\x{206F}\\x{3164}\\x{FE00}-\\x{FE0F}\\x{FEFF}\\x{FFA0}]"

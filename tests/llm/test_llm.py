@@ -14,7 +14,7 @@ from sift.llm.encode import append_encoded, encode_corpus, token_counts
 from sift.llm.looks import ALIKE, PLAIN, canonical, known_tags, one_form, same_looks
 from sift.llm.mix import mix_plan, mix_sources, pivotal
 from sift.llm.split import split_documents
-from sift.llm.survivor import Bundle, Dependency, branch_and_bound, surviving_records
+from sift.llm.survivor import Bundle, Dependency, branch_and_bound, dependency_support, surviving_records, worth
 
 PATH = B.tokenizer_path()
 TEXTS = [
@@ -291,16 +291,24 @@ def test_co_occurrence(spark):
 
 def test_branch_and_bound_equals_search():
     rng = random.Random(12)
-    for _ in range(200):
-        domains = [sorted(((v, (rng.randrange(9), rng.randrange(9))) for v in range(rng.randint(1, 4))), key=lambda x: x[1], reverse=True) for _ in range(3)]
+    for _ in range(300):
+        tiers = rng.choice([[0, 0, 0], [0, 1, 1], [1, 0, 0]])
+        domains = [sorted(((v, (rng.randrange(3), rng.randrange(3), rng.randrange(9))) for v in range(rng.randint(1, 4))), key=lambda x: x[1], reverse=True) for _ in range(3)]
         allowed = {(a, b): {v: rng.randrange(4) for v in range(4) if rng.random() < 0.6} for a, b in ((0, 1), (2, 1)) if rng.random() < 0.8}
 
-        def fits(c):
-            return all(c[a][0] not in m or m[c[a][0]] == c[b][0] for (a, b), m in allowed.items())
+        def value(c):
+            breaks = sum(c[a][0] in m and m[c[a][0]] != c[b][0] for (a, b), m in allowed.items())
+            return (-breaks, *worth([t for _, t in c], tiers))
 
-        totals = [tuple(map(sum, zip(*(t for _, t in c)))) for c in itertools.product(*domains) if fits(c)]
-        found = branch_and_bound(domains, allowed)
-        assert (found is None and not totals) or found[1] == max(totals)
+        positions, best = branch_and_bound(domains, allowed, tiers)
+        assert best == max(value(c) for c in itertools.product(*domains)) == value([d[p] for d, p in zip(domains, positions)])
+
+
+def test_tiers_come_first():
+    # of two dependent bundles the one of the earlier tier keeps its most trusted value
+    domains = [[("a", (3, 5, 1)), ("b", (3, 4, 2))], [("y", (3, 9, 3)), ("x", (0, 0, 4))]]
+    assert branch_and_bound(domains, {(0, 1): {"a": "x", "b": "y"}}, [0, 1])[0] == [0, 1]
+    assert branch_and_bound(domains, {(0, 1): {"a": "x", "b": "y"}}, [0, 0])[0] == [1, 0]
 
 
 def test_survivors(spark):
@@ -316,7 +324,33 @@ def test_survivors(spark):
     # a city's zip is the one in the most trusted record with that city
     tied = {r.k: r for r in surviving_records(df, "k", "id", F.col("lv"), F.col("tm"), [b("text"), b("city"), b("zip")], [Dependency("city", "zip")]).collect()}
     assert (tied["k"].city.city, tied["k"].zip.zip) == ("B", "z") and tied["k"].text.record == 1
-    assert tied["solo"].city is None and tied["tie"].zip.zip == "q"
+    assert tied["solo"].city is None and tied["tie"].zip.zip == "q" and tied["k"].broken == 0
+
+
+def test_dependencies_decide(spark):
+    # the most trusted views and counters are of two readings; with the dependency the counters follow the views
+    rows = [("g", 1, 3, 10, 7.0, 1.0), ("g", 2, 3, 20, None, 2.0), ("h", 3, 1, 1, 5.0, 5.0)]
+    df = spark.createDataFrame(rows, "level string, record long, lv int, tm long, views double, coins double")  # names clash with the operator's own
+    b = lambda n, tier: Bundle(n, {n: F.col(n)}, F.col(n).isNotNull(), tier)
+    run = lambda deps: {r.level: r for r in surviving_records(df, "level", "record", F.col("lv"), F.col("tm"), [b("views", 0), b("coins", 1)], deps).collect()}
+    assert run([])["g"].coins.coins == 2.0 and run([Dependency("views", "coins")])["g"].coins.coins == 1.0
+    assert run([Dependency("views", "coins")])["h"].coins.record == 3
+
+
+def test_unsatisfiable_groups_are_marked(spark):
+    # a says x, c says y, and each is the only value
+    rows = [("g", 1, 1, 1, "a", "x", None), ("g", 2, 1, 2, None, "y", "c"), ("g", 3, 2, 3, None, "z", None)]
+    df = spark.createDataFrame(rows, "k string, id long, lv int, tm long, a string, b string, c string")
+    b = lambda n: Bundle(n, {n: F.col(n)}, F.col(n).isNotNull())
+    r = surviving_records(df, "k", "id", F.col("lv"), F.col("tm"), [b("a"), b("b"), b("c")], [Dependency("a", "b"), Dependency("c", "b")]).first()
+    assert (r.broken, r.a.a, r.b.b, r.c.c) == (1, "a", "y", "c")
+    empty = surviving_records(df.where("false"), "k", "id", F.col("lv"), F.col("tm"), [b("a"), b("b")], [Dependency("a", "b")])
+    assert empty.count() == 0
+
+
+def test_dependency_support(spark):
+    df = spark.createDataFrame([("g", "m", "n"), ("g", "m", "n"), ("g", "p", "n"), ("h", "m", "q"), ("h", "m", "r"), (None, "m", "x"), ("h", None, "x")], "k string, a string, b string")
+    assert [tuple(r) for r in dependency_support(df, "k", {"a -> b": (F.col("a"), F.col("b"))}).collect()] == [("a -> b", 3, 1)]
 
 
 def test_survivors_beyond_the_first_values(spark):

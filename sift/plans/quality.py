@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sift.operators.grid import regular_grid
-from sift.operators.readings import snapshot_readings
+from sift.operators.readings import METRICS, snapshot_readings
 from sift.operators.spikes import flag_spikes
 from sift.session import cut
 
 
 def _readings(spark: SparkSession, d: str) -> DataFrame:
-    return snapshot_readings(spark.read.parquet(f"{d}/snapshots.parquet"))
+    return cut(snapshot_readings(spark.read.parquet(f"{d}/snapshots.parquet")))
 
 
 def p1_flags(spark: SparkSession, d: str) -> DataFrame:
@@ -24,12 +24,13 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_grid(spark: SparkSession, d: str) -> DataFrame:
-    return regular_grid(_readings(spark, d)).withColumnRenamed("source", "bvid")
+    """The grid, its values rounded to thousandths."""
+    grid = regular_grid(_readings(spark, d))
+    return grid.select(F.col("source").alias("bvid"), "slot_ms", "n_readings", "status", *(F.round(m, 3).alias(m) for m in METRICS))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    # The grid is written whole: else the optimizer drops the interpolation, as these two columns don't need it.
-    return cut(p2_grid(spark, d)).where(F.col("status") != "read").select("bvid", "slot_ms")
+    return p2_grid(spark, d).where(F.col("status") != "read").select("bvid", "slot_ms")
 
 
 QUERIES = {"p1_found": p1_found, "p1_flags": p1_flags, "p2_found": p2_found, "p2_grid": p2_grid}
@@ -45,7 +46,35 @@ usable AS (
   AND coalesce(stats.views, stats.likes, stats.favorites, stats.coins, stats.replies, stats.danmaku, stats.shares) IS NOT NULL),
 """
 
+_SLOPE = """CASE WHEN {d0} IS NULL THEN {d1} WHEN {d1} IS NULL THEN {d0} WHEN {d0} * {d1} <= 0 THEN 0
+    ELSE 3 * ({h0} + {h1}) / ((2 * {h1} + {h0}) / {d0} + ({h1} + 2 * {h0}) / {d1}) END"""
+
+_GRID = (
+    _READINGS
+    + f"""
+means AS (SELECT bvid, t, {", ".join(f"avg(stats.{m}) AS {m}" for m in METRICS)} FROM one WHERE t <= received AND coalesce({", ".join(f"stats.{m}" for m in METRICS)}) IS NOT NULL GROUP BY bvid, t),
+known AS ({" UNION ALL ".join(f"SELECT bvid, '{m}' AS metric, t, {m} AS v FROM means WHERE {m} IS NOT NULL" for m in METRICS)}),
+near AS (SELECT bvid, metric, t, v, t - lag(t) OVER w AS h0, (v - lag(v) OVER w) / (t - lag(t) OVER w) AS d0, lead(t) OVER w AS nt, lead(v) OVER w AS nv FROM known WINDOW w AS (PARTITION BY bvid, metric ORDER BY t)),
+secant AS (SELECT *, nt - t AS h1, (nv - v) / (nt - t) AS d1 FROM near),
+slope AS (SELECT *, {_SLOPE.format(h0="h0", d0="d0", h1="h1", d1="d1")} AS m FROM secant),
+spans AS (SELECT bvid, metric, t, v, nt, nv, m AS m0, lead(m) OVER (PARTITION BY bvid, metric ORDER BY t) AS m1 FROM slope),
+span AS (SELECT bvid, min(slot) AS a, max(slot) AS b FROM usable GROUP BY bvid),
+grid AS (SELECT bvid, unnest(range(a, b + 1)) AS slot FROM span),
+n AS (SELECT bvid, slot, count(*) AS n FROM usable GROUP BY bvid, slot),
+wanted AS (SELECT bvid, slot, slot * 3600000 AS s, metric FROM grid CROSS JOIN (SELECT unnest([{", ".join(f"'{m}'" for m in METRICS)}]) AS metric)),
+found AS (SELECT w.bvid, w.slot, w.metric, p.*, (w.s - p.t) / (p.nt - p.t) AS x, w.s FROM wanted w ASOF JOIN spans p ON w.bvid = p.bvid AND w.metric = p.metric AND w.s >= p.t),
+curve AS (
+  SELECT bvid, slot, metric, CASE WHEN s = t THEN v WHEN nt - t <= 43200000 THEN greatest(least(
+    (2 * x ** 3 - 3 * x ** 2 + 1) * v + (x ** 3 - 2 * x ** 2 + x) * (nt - t) * m0 + (3 * x ** 2 - 2 * x ** 3) * nv + (x ** 3 - x ** 2) * (nt - t) * m1,
+    greatest(v, nv)), least(v, nv)) END AS y FROM found),
+wide AS (SELECT bvid, slot, {", ".join(f"round(max(y) FILTER (metric = '{m}'), 3) AS {m}" for m in METRICS)} FROM curve GROUP BY bvid, slot)
+SELECT g.bvid, g.slot * 3600000 AS slot_ms, coalesce(n.n, 0) AS n_readings,
+  CASE WHEN n.n > 0 THEN 'read' WHEN coalesce({", ".join(METRICS)}) IS NOT NULL THEN 'filled' ELSE 'gap' END AS status, {", ".join(METRICS)}
+FROM grid g LEFT JOIN n USING (bvid, slot) LEFT JOIN wide USING (bvid, slot)"""
+)
+
 ORACLES = {
+    "p2_grid": _GRID,
     "p2_found": _READINGS
     + """
 span AS (SELECT bvid, min(slot) AS a, max(slot) AS b FROM usable GROUP BY bvid),

@@ -144,14 +144,37 @@ def test_snapshot_readings(spark):
     assert got == {1: (ms - 5, 1.0), 2: (ms - 5000, 1.0), 3: (None, 1.0), 4: (None, None), 6: (None, 1.0)}
 
 
-def test_p2_found_interpolates(spark, tmp_path, monkeypatch):
-    from sift.operators import grid
+def test_p2_found_interpolates(spark, tmp_path):
     from sift.plans.quality import p2_found
 
     stats = "named_struct('views', {0}D, 'likes', 1D, 'favorites', 1D, 'coins', 1D, 'replies', 1D, 'danmaku', 1D, 'shares', 1D)"
     row = "select {0}L as snapshot_id, 'a' as bvid, {1}L as capturedAt, " + stats + " as stats, timestamp_ntz'2030-01-01 00:00:00' as received_at"
     spark.sql(" union all ".join(row.format(i, T0 + h * HOUR) for i, h in enumerate((0, 3, 30, 31)))).write.parquet(f"{tmp_path}/snapshots.parquet")
-    assert sorted((r.slot_ms - T0) // HOUR for r in p2_found(spark, str(tmp_path)).collect()) == [1, 2, *range(4, 30)]
-    monkeypatch.setattr(grid, "_slope", lambda *a: F.raise_error(F.lit("slopes are computed")).cast("double"))
-    with pytest.raises(Exception, match="slopes are computed"):
-        p2_found(spark, str(tmp_path)).collect()
+    found_ = p2_found(spark, str(tmp_path))
+    assert sorted((r.slot_ms - T0) // HOUR for r in found_.collect()) == [1, 2, *range(4, 30)]
+    assert "FlatMapGroupsInPandas" in found_._jdf.queryExecution().optimizedPlan().toString()  # the solver isn't pruned away
+
+
+def test_grid_shards_see_far_readings(spark):
+    # likes are known only at the far ends, over many shards; and a stretch of a long gap is in pieces
+    n, none = 300, [None] * 5
+    rows = [(i, "h", T0 + i * HOUR // 3, float(i), 5.0 if i == 0 else 95.0 if i == n - 1 else None, *none, "x") for i in range(n)]
+    rows += [(n, "g", T0, 1.0, None, *none, "x"), (n + 1, "g", T0 + 10_000 * HOUR, 2.0, None, *none, "x"), (n + 2, "g", T0 + 10_000 * HOUR + 1, float("nan"), None, *none, "x")]
+    grids = [{(r.source, r.slot_ms): tuple(r) for r in regular_grid(spark.createDataFrame(rows, READING), long_gap_ms=200 * HOUR, shard_rows=k).collect()} for k in (10_000, 20)]
+    assert grids[0] == grids[1] and len(grids[0]) == 100 + 10_001
+    likes = [grids[0]["h", T0 + h * HOUR][5] for h in range(100)]
+    assert likes[0] == 5.0 and all(a < b for a, b in zip(likes, likes[1:])) and likes[50] == pytest.approx(5 + 90 * 150 / 299)
+    assert {grids[0]["g", T0 + h * HOUR][3] for h in range(1, 10_000)} == {"gap"} and grids[0]["g", T0 + 10_000 * HOUR][2] == 2
+
+
+def test_shards_of_shards(spark, monkeypatch):
+    from sift.operators import readings
+
+    monkeypatch.setattr(readings, "PARTS", 4)  # so that a source must be cut again and again
+    rows = spark.createDataFrame([("h", i, i) for i in range(200)], "source string, at long, v int")
+    s = shard_by_time(rows, 10, 1)
+    own = s.where("not halo").groupBy("shard").agg(F.min("at").alias("a"), F.max("at").alias("b"), F.count("*").alias("n")).orderBy("shard").collect()
+    assert [r.shard for r in own] == list(range(len(own))) and max(r.n for r in own) <= 20 and sum(r.n for r in own) == 200
+    assert all(x.b + 1 == y.a for x, y in zip(own, own[1:])) and s.where("halo").count() == 2 * (len(own) - 1)
+
+

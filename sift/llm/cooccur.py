@@ -4,17 +4,19 @@ Pair counts are exact: a basket's distinct items are cut into blocks, each pair
 pairs are added up per Arrow batch before they are shuffled.  The null is the maximum-entropy bipartite graph with the
 observed item frequencies and basket sizes in expectation; p(item, basket) = x y / (1 + x y) depends only on the item's
 frequency and the basket's size, so it is fitted on the two histograms.  An item pair's count under the null is then
-Poisson-binomial, a sum of binomials over basket sizes; false discoveries are controlled over all possible pairs.
+Poisson-binomial, a sum of binomials over basket sizes, whose tail is found exactly; false discoveries are controlled
+over all possible pairs.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -22,8 +24,8 @@ from sift.session import cut
 
 #: Items per block of a basket. Pairs of two blocks are made in one row.
 BLOCK = 256
-#: Basket sizes kept apart in the null; larger ones share geometric classes of this ratio.
-EXACT_SIZES, SIZE_RATIO = 512, 1.02
+#: Numbers of a matrix held at a time.
+CELLS = 4_000_000
 #: Ranges of p-values in which ranks are found; one task each.
 RANGES = 200
 
@@ -72,65 +74,111 @@ def pair_counts(baskets: DataFrame, item_type: str = "long", block: int = BLOCK)
     return counted.groupBy("item_a", "item_b").agg(F.sum("n").alias("n_ab"))
 
 
-def fit_null(degrees: np.ndarray, items: np.ndarray, sizes: np.ndarray, baskets: np.ndarray, rounds: int = 2000, tol: float = 1e-10) -> tuple[np.ndarray, np.ndarray]:
-    """Fitnesses (x per degree, y per size) of the bipartite configuration model.
+def _sums(x: np.ndarray, y: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """For each x the sum over y of weights * y / (1 + x y), in blocks of bounded memory."""
+    rows = max(1, CELLS // max(1, len(y)))
+    return np.concatenate([(weights * y / (1.0 + np.outer(x[i : i + rows], y))).sum(axis=1) for i in range(0, len(x), rows)])
+
+
+def fit_null(degrees: np.ndarray, items: np.ndarray, sizes: np.ndarray, baskets: np.ndarray, rounds: int = 5000, tol: float = 1e-8, sums=_sums) -> tuple[np.ndarray, np.ndarray]:
+    """Fitnesses (x per degree, y per size) of the bipartite configuration model; infinite for items that all baskets
+    have and baskets that have all items.
 
     degrees / items: histogram of item frequencies; sizes / baskets: histogram of basket sizes. Fixed-point iteration
-    of the likelihood equations degree = sum_sizes baskets * x y / (1 + x y), and likewise for sizes."""
-    links = float((degrees * items).sum())
-    x, y = degrees / math.sqrt(links), sizes / math.sqrt(links)
+    of the likelihood equations degree = sum_sizes baskets * x y / (1 + x y), and likewise for sizes, until all of them
+    hold within tol; a warning tells if they don't after all rounds. sums: as _sums, maybe by many tasks."""
+    x, y = np.full(len(degrees), np.inf), np.full(len(sizes), np.inf)
+    d, s, rows, cols = degrees.astype(float), sizes.astype(float), np.ones(len(degrees), bool), np.ones(len(sizes), bool)
+    while rows.any() and cols.any():  # what is certain, one way or the other, is no matter of fitness
+        x[rows & (d <= 0)], y[cols & (s <= 0)] = 0.0, 0.0
+        rows, cols = rows & (d > 0), cols & (s > 0)
+        full_d, full_s = rows & (d >= baskets[cols].sum()), cols & (s >= items[rows].sum())
+        if full_d.any():
+            rows, s = rows & ~full_d, s - items[full_d].sum() * cols
+        elif full_s.any():
+            cols, d = cols & ~full_s, d - baskets[full_s].sum() * rows
+        else:
+            break
+    if not rows.any() or not cols.any():
+        return x, y
+    d, s, items, baskets = d[rows], s[cols], items[rows], baskets[cols]
+    u, v = d / math.sqrt((d * items).sum()), s / math.sqrt((d * items).sum())
+    off = math.inf
     for _ in range(rounds):
-        nx = degrees / (baskets * y / (1.0 + np.outer(x, y))).sum(axis=1)
-        ny = sizes / ((items * nx)[:, None] / (1.0 + np.outer(nx, y))).sum(axis=0)
-        done = max(np.abs(nx / x - 1).max(), np.abs(ny / y - 1).max()) < tol
-        x, y = nx, ny
-        if done:
+        nu = d / sums(u, v, baskets)
+        got = sums(v, nu, items)
+        off = max(np.abs(nu / u - 1).max(), np.abs(v * got / s - 1).max())
+        u, v = nu, s / got
+        if off < tol:
             break
+    else:
+        warnings.warn(f"the configuration null holds within {off:.1e} only", RuntimeWarning, stacklevel=2)
+    x[rows], y[cols] = u, v
     return x, y
 
 
-def poisson_binomial_tail(n: int, probs: np.ndarray, counts: np.ndarray) -> float:
-    """log10 P(X >= n) for X a sum of counts[k] Bernoullis of probs[k], by the saddlepoint with lattice correction;
-    exact at n <= 0, and for n = 1."""
-    if n <= 0:
-        return 0.0
-    probs, counts = probs[probs > 0], counts[probs > 0]
-    if not len(probs) or n > counts.sum():
-        return -math.inf
-    if n == 1:
-        none = float((counts * np.log1p(-np.minimum(probs, 1 - 1e-16))).sum())
-        return math.log10(max(-math.expm1(none), 1e-300))
-    mean = float((counts * probs).sum())
-    lo, hi, t = -60.0, 60.0, math.log(max(n, 1e-9) / max(mean, 1e-300))
-    t = min(max(t, lo), hi)
-    for _ in range(100):
-        w = probs * math.exp(t)
-        q = w / (1.0 - probs + w)
-        k1, k2 = float((counts * q).sum()), float((counts * q * (1 - q)).sum())
-        if k1 < n:
-            lo = t
-        else:
-            hi = t
-        step = (n - k1) / k2 if k2 > 0 else 0.0
-        new = t + step
-        t2 = new if lo < new < hi else (lo + hi) / 2
-        if abs(t2 - t) < 1e-12:
-            t = t2
+def chance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Probabilities that items of fitness x are in baskets of fitness y."""
+    with np.errstate(invalid="ignore", over="ignore"):
+        z = np.outer(x, y)
+        return np.where(np.isinf(x)[:, None] | np.isinf(y), 1.0, z / (1.0 + z))
+
+
+def poisson_binomial_tails(n: np.ndarray, probs: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """log10 P(X >= n) for each row, X being a sum of counts[k] Bernoullis of probs[row, k]: exact but for rounding.
+
+    The distribution is tilted so that its mean is n, so what matters of it lies within a few standard deviations, where
+    a Fourier inversion gives it without loss; the tilt is then taken back term by term."""
+    out = np.full(len(n), np.nan)
+    n = n.astype(float)
+    sure, may = (counts * (probs >= 1)).sum(axis=1), (counts * (probs > 0)).sum(axis=1)
+    out[n <= sure] = 0.0
+    out[n > may] = -math.inf
+    all_ = np.flatnonzero(np.isnan(out) & (n == may))
+    with np.errstate(divide="ignore"):
+        out[all_] = (counts * np.where(probs[all_] > 0, np.log(np.where(probs[all_] > 0, probs[all_], 1.0)), 0.0)).sum(axis=1)
+    todo = np.flatnonzero(np.isnan(out))
+    if not len(todo):
+        return out / math.log(10)
+    p, m = probs[todo], n[todo]
+    odds = np.where(p >= 1, np.inf, p / np.where(p >= 1, 1.0, 1.0 - p))
+
+    def tilted(t: np.ndarray) -> np.ndarray:
+        w = odds * np.exp(t)[:, None]
+        return np.where(np.isinf(w), 1.0, w / (1.0 + np.where(np.isinf(w), 0.0, w)))
+
+    lo, hi = np.full(len(m), -700.0), np.full(len(m), 700.0)
+    t = np.clip(np.log(m / np.maximum((counts * p).sum(axis=1), 1e-300)), -600, 600)
+    for _ in range(200):
+        q = tilted(t)
+        mean, var = (counts * q).sum(axis=1), (counts * q * (1 - q)).sum(axis=1)
+        lo, hi = np.where(mean < m, t, lo), np.where(mean < m, hi, t)
+        step = t + (m - mean) / np.maximum(var, 1e-300)
+        new = np.where((step > lo) & (step < hi), step, (lo + hi) / 2)
+        done = np.abs(new - t).max() < 1e-9
+        t = new
+        if done:
             break
-        t = t2
-    w = probs * math.exp(t)
-    q = w / (1.0 - probs + w)
-    k0, k2 = float((counts * np.log1p(probs * math.expm1(t))).sum()), float((counts * q * (1 - q)).sum())
-    if k2 <= 0:
-        return k0 / math.log(10) - t * n / math.log(10)
-    if abs(t) < 1e-6:
-        return math.log10(0.5 * math.erfc((n - 0.5 - mean) / math.sqrt(2 * k2)))
-    r = math.copysign(math.sqrt(max(2 * (t * n - k0), 0.0)), t)
-    u = -math.expm1(-t) * math.sqrt(k2)
-    if t > 0 and r > 8:  # far tail: log of the leading term times 1 + O(1 / r^2)
-        return (k0 - t * n) / math.log(10) - math.log10(abs(u) * math.sqrt(2 * math.pi))
-    tail = 0.5 * math.erfc(r / math.sqrt(2)) + math.exp(-r * r / 2) / math.sqrt(2 * math.pi) * (1 / u - 1 / r)
-    return math.log10(min(max(tail, 1e-300), 1.0))
+    q = tilted(t)
+    reach = np.ceil(12 * np.sqrt((counts * q * (1 - q)).sum(axis=1))).astype(int) + 4
+    scale = np.where(p >= 1, t[:, None], np.log1p(np.where(p >= 1, 0.0, p) * np.expm1(t)[:, None]))
+    scale = (counts * scale).sum(axis=1) - t * m
+    length = 2 ** np.ceil(np.log2(2 * reach + 2)).astype(int)
+    for size in np.unique(length):
+        where = np.flatnonzero(length == size)
+        turn = np.exp(-2j * np.pi * np.arange(size // 2 + 1) / size)
+        rows = max(1, CELLS // 4 // (len(turn) * max(1, len(counts))))
+        for i in range(0, len(where), rows):
+            k = where[i : i + rows]
+            waves = np.exp((counts * np.log(1 - q[k, None, :] + q[k, None, :] * turn[:, None])).sum(axis=2))
+            pmf = np.maximum(np.fft.irfft(waves, size), 0.0)
+            step = np.arange(size // 2)
+            up = t[k] >= 0
+            at = np.where(up[:, None], m[k, None] + step, m[k, None] - 1 - step).astype(int) % size
+            sums = (pmf[np.arange(len(k))[:, None], at] * np.exp(-np.abs(t[k])[:, None] * (step + ~up[:, None]))).sum(axis=1)
+            side = scale[k] + np.log(np.maximum(sums, 1e-300))
+            out[todo[k]] = np.where(up, np.minimum(side, 0.0), np.log1p(-np.exp(np.minimum(side, -1e-16))))
+    return out / math.log(10)
 
 
 def _histogram(counts: DataFrame, column: str) -> tuple[np.ndarray, np.ndarray]:
@@ -162,41 +210,62 @@ def benjamini_hochberg(tests: DataFrame, total: float, ranges: int = RANGES) ->
     return tests.join(q, "_p").drop("_p")
 
 
+def _spread_sums(spark: SparkSession):
+    """_sums by many tasks where a matrix of all degrees and sizes would be large: the driver only holds histograms."""
+
+    def sums(x: np.ndarray, y: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        if len(x) * len(y) <= CELLS:
+            return _sums(x, y, weights)
+        parts = min(len(x), -(-len(x) * len(y) // CELLS))
+        edges = np.linspace(0, len(x), parts + 1).astype(int)
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                for k in frame["id"]:
+                    yield pd.DataFrame({"at": range(edges[k], edges[k + 1]), "v": _sums(x[edges[k] : edges[k + 1]], y, weights)})
+
+        rows = spark.range(0, parts, 1, parts).mapInPandas(run, "at long, v double").toPandas()  # one number a degree
+        return rows.sort_values("at")["v"].to_numpy()
+
+    return sums
+
+
 def co_occurrence(baskets: DataFrame, n_baskets: int, min_count: int = 1, block: int = BLOCK) -> DataFrame:
     """(item_a, item_b, n_ab, n_a, n_b, n_baskets, ratio, expected, log10_p, q) of item pairs with n_ab >= min_count.
 
     baskets: (basket, item BIGINT); repeated rows count once, NULLs are left out. n_baskets: all baskets, those without
     items included. ratio is n_ab n_baskets / (n_a n_b); expected, log10_p and q are the null's mean, the log of its
-    upper tail at n_ab, and the false-discovery rate over all possible pairs of items. Items in fewer than min_count
-    baskets can't reach min_count pairs and are only left out of the pairing, not of the null."""
+    upper tail at n_ab, and the false-discovery rate over all possible pairs of items. min_count only selects rows of
+    the result: all pairs that occur are counted and tested, so q doesn't depend on it."""
     rows = cut(baskets.where(F.col("basket").isNotNull() & F.col("item").isNotNull()).select("basket", "item").distinct())
     items = cut(rows.groupBy("item").agg(F.count(F.lit(1)).alias("n")))
-    sizes = rows.groupBy("basket").agg(F.count(F.lit(1)).alias("k"))
-    classes = F.when(F.col("k") <= EXACT_SIZES, F.col("k")).otherwise(F.greatest(F.lit(EXACT_SIZES + 1), F.ceil(EXACT_SIZES * F.pow(F.lit(SIZE_RATIO), F.floor(F.log(F.col("k") / EXACT_SIZES) / math.log(SIZE_RATIO))))))
     degree, how_many = _histogram(items, "n")
-    size, of_size = _histogram(sizes.select(classes.cast("long").alias("k")), "k")
-    frequent = rows.join(items.where(F.col("n") >= min_count).select("item"), "item", "left_semi")
-    pairs = pair_counts(frequent, rows.schema["item"].dataType.simpleString(), block).where(F.col("n_ab") >= min_count)
-    pairs = pairs.join(items.select(F.col("item").alias("item_a"), F.col("n").alias("n_a")), "item_a").join(items.select(F.col("item").alias("item_b"), F.col("n").alias("n_b")), "item_b")
-    if len(degree):
-        size = size * (degree * how_many).sum() / max((size * of_size).sum(), 1.0)  # classes keep the number of links
-        x, y = fit_null(degree, how_many, size, of_size)
-    else:
-        x, y = np.zeros(0), np.zeros(0)
+    size, of_size = _histogram(rows.groupBy("basket").agg(F.count(F.lit(1)).alias("k")), "k")
+    spark = baskets.sparkSession
+    x, y = fit_null(degree, how_many, size, of_size, sums=_spread_sums(spark)) if len(degree) else (np.zeros(0), np.zeros(0))
+    fitness = spark.createDataFrame(pd.DataFrame({"n": degree.astype("int64"), "x": x}), "n long, x double")
+    fitted = items.join(fitness, "n")
+    pairs = pair_counts(rows, rows.schema["item"].dataType.simpleString(), block)
+    for c in ("a", "b"):
+        pairs = pairs.join(fitted.select(F.col("item").alias(f"item_{c}"), F.col("n").alias(f"n_{c}"), F.col("x").alias(f"x_{c}")), f"item_{c}")
 
     @F.pandas_udf("expected double, log10_p double")
-    def surprise(n_ab: pd.Series, n_a: pd.Series, n_b: pd.Series) -> pd.DataFrame:
-        at = {int(d): i for i, d in enumerate(degree)}
-        memo: dict[tuple, tuple[float, float]] = {}
-        out = []
-        for key in zip(n_ab, n_a, n_b):
-            if key not in memo:
-                pa, pb = x[at[key[1]]] * y, x[at[key[2]]] * y
-                p = pa / (1 + pa) * pb / (1 + pb)
-                memo[key] = (float((of_size * p).sum()), poisson_binomial_tail(int(key[0]), p, of_size))
-            out.append(memo[key])
-        return pd.DataFrame(out, columns=["expected", "log10_p"])
-
-    judged = pairs.withColumn("_s", surprise("n_ab", "n_a", "n_b")).select("item_a", "item_b", "n_ab", "n_a", "n_b", F.lit(n_baskets).cast("long").alias("n_baskets"), (F.col("n_ab") * F.lit(float(n_baskets)) / (F.col("n_a") * F.col("n_b"))).alias("ratio"), "_s.expected", F.greatest("_s.log10_p", F.lit(-1e6)).alias("log10_p"))
-    total = float(how_many.sum()) * (float(how_many.sum()) - 1) / 2 if len(degree) else 0.0
-    return benjamini_hochberg(cut(judged), total)
+    def surprise(n_ab: pd.Series, x_a: pd.Series, x_b: pd.Series) -> pd.DataFrame:
+        cases = pd.DataFrame({"n": n_ab, "lo": np.minimum(x_a, x_b), "hi": np.maximum(x_a, x_b)})
+        once = cases.drop_duplicates(ignore_index=True)
+        lo, lo_at = np.unique(once["lo"], return_inverse=True)
+        hi, hi_at = np.unique(once["hi"], return_inverse=True)
+        chances, step, told = (chance(lo, y), chance(hi, y)), max(1, CELLS // max(1, 4 * len(y))), []
+        for i in range(0, len(once), step):
+            p = chances[0][lo_at[i : i + step]] * chances[1][hi_at[i : i + step]]
+            told.append(np.stack([(of_size * p).sum(axis=1), poisson_binomial_tails(once["n"].to_numpy()[i : i + step], p, of_size)], axis=1))
+        both = np.concatenate(told) if told else np.zeros((0, 2))
+        once = once.assign(expected=both[:, 0], log10_p=both[:, 1])
+        return cases.merge(once, "left", ["n", "lo", "hi"])[["expected", "log10_p"]]
+
+    ratio = F.col("n_ab") * F.lit(float(n_baskets)) / (F.col("n_a") * F.col("n_b"))
+    judged = pairs.withColumn("_s", surprise("n_ab", "x_a", "x_b")).select(
+        "item_a", "item_b", "n_ab", "n_a", "n_b", F.lit(n_baskets).cast("long").alias("n_baskets"), ratio.alias("ratio"), "_s.expected", F.greatest("_s.log10_p", F.lit(-1e6)).alias("log10_p")
+    )
+    total = float(how_many.sum()) * (float(how_many.sum()) - 1) / 2
+    return benjamini_hochberg(cut(judged), total).where(F.col("n_ab") >= min_count)

@@ -14,33 +14,41 @@ from sift.llm.mix import mix_sources
 from sift.llm.split import split_documents
 from sift.llm.survivor import Bundle, Dependency, chosen_records, dependency_support, surviving_records
 from sift.plans.sql import half
+from sift.session import cut
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def _tag_baskets(spark: SparkSession, d: str) -> DataFrame:
-    """(basket, item): videos and the tags of any of their records; known tags by tag_id, others by a negative hash."""
-    tags = video_tags(_table(spark, d, "videos")).where(F.col("video").isNotNull() & F.col("tag").isNotNull()).select(F.col("video").alias("basket"), "tag").distinct()
-    looks = tags.select("tag").distinct().select("tag", one_form(F.col("tag")).alias("looks")).where(F.col("looks") != "")
-    known = looks.join(tag_forms(_table(spark, d, "tag_catalog")).drop("tag"), "looks", "left")
-    item = F.coalesce("tag_id", -F.pmod(F.xxhash64("looks"), F.lit(1 << 62)) - 1)
-    return tags.join(known.select("tag", item.alias("item")), "tag").select("basket", "item")
-
-
-def _tag_pairs(spark: SparkSession, d: str, min_count: int) -> DataFrame:
-    videos = _table(spark, d, "videos").select(proper_key(F.col("bvid")).alias("v")).where(F.col("v").isNotNull()).distinct().count()
-    return co_occurrence(_tag_baskets(spark, d), videos, min_count)
+def _tag_pairs(spark: SparkSession, d: str, min_count: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs, names): videos are baskets of the tags of any of their records. names (item, tag_id, tag): known tags are
+    items by tag_id, others by a negative number of their form, which is written once."""
+    videos = _table(spark, d, "videos").where(F.col("record_id").isNotNull()).select(proper_key(F.col("bvid")).alias("basket"), F.explode_outer(F.array_distinct("tags")).alias("tag"))
+    rows = cut(videos.where(F.col("basket").isNotNull()).distinct())
+    forms = rows.select("tag").where(F.col("tag").isNotNull()).distinct().select("tag", one_form(F.col("tag")).alias("looks")).where(F.col("looks") != "")
+    forms = cut(forms)
+    known = tag_forms(_table(spark, d, "tag_catalog")).groupBy("looks").agg(F.min(F.struct("tag_id", "tag")).alias("k"))
+    names = forms.select("looks").distinct().join(known, "looks", "left")
+    names = cut(names.select("looks", F.coalesce("k.tag_id", -1 - F.monotonically_increasing_id()).alias("item"), F.col("k.tag_id").alias("tag_id"), F.coalesce("k.tag", "looks").alias("tag")))
+    items = forms.join(names.select("looks", "item"), "looks").select("tag", "item")
+    baskets = rows.join(items, "tag").select("basket", "item")
+    return co_occurrence(baskets, rows.select("basket").distinct().count(), min_count), names
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    pairs = _tag_pairs(spark, d, 8).where((F.col("item_a") > 0) & (F.col("n_ab") * F.col("n_baskets") >= 4 * F.col("n_a") * F.col("n_b")))
+    pairs = _tag_pairs(spark, d, 8)[0].where((F.col("item_a") > 0) & (F.col("n_ab") * F.col("n_baskets") >= 4 * F.col("n_a") * F.col("n_b")))
     return pairs.select(F.col("item_a").alias("tag_id_a"), F.col("item_b").alias("tag_id_b"))
 
 
 def p3_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return _tag_pairs(spark, d, 1)
+    pairs, names = _tag_pairs(spark, d, 1)
+    for c in ("a", "b"):
+        pairs = pairs.join(names.select(F.col("item").alias(f"item_{c}"), F.col("tag_id").alias(f"tag_id_{c}"), F.col("tag").alias(f"tag_{c}")), f"item_{c}")
+    # the two tags of a pair in order of their spelling, whatever the numbers of unknown ones are
+    first = [F.when(F.col("tag_a") <= F.col("tag_b"), F.col(f"{n}_a")).otherwise(F.col(f"{n}_b")).alias(f"{n}_a") for n in ("tag", "tag_id", "n")]
+    last = [F.when(F.col("tag_a") <= F.col("tag_b"), F.col(f"{n}_b")).otherwise(F.col(f"{n}_a")).alias(f"{n}_b") for n in ("tag", "tag_id", "n")]
+    return pairs.select(*first, *last, "n_ab", "n_baskets", "ratio", "expected", "log10_p", "q")
 
 
 def _video_records(spark: SparkSession, d: str) -> tuple[DataFrame, Column, Column]:

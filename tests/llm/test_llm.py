@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sift.llm import bpe as B
-from sift.llm.cooccur import benjamini_hochberg, co_occurrence, fit_null, pair_counts, poisson_binomial_tail
+from sift.llm.cooccur import benjamini_hochberg, chance, co_occurrence, fit_null, pair_counts, poisson_binomial_tails
 from sift.llm.encode import append_encoded, encode_corpus, token_counts
 from sift.llm.looks import ALIKE, PLAIN, canonical, known_tags, one_form, same_looks
 from sift.llm.mix import mix_plan, mix_sources, pivotal
@@ -254,14 +254,43 @@ def test_null_and_tail():
     x, y = fit_null(degrees, items, sizes, baskets)
     p = np.outer(x, y) / (1 + np.outer(x, y))
     assert (p * baskets).sum(axis=1) == pytest.approx(degrees, rel=1e-6) and (p * items[:, None]).sum(axis=0) == pytest.approx(sizes, rel=1e-6)
-    probs, counts = rng.random(5) * 0.2, rng.integers(5, 40, 5)
-    pmf = np.array([1.0])
-    for q, m in zip(probs, counts):
-        for _ in range(m):
-            pmf = np.convolve(pmf, [1 - q, q])
-    for n in (0, 1, 2, 5, 10, 20, 30):
-        assert 10 ** poisson_binomial_tail(n, probs, counts) == pytest.approx(pmf[n:].sum(), rel=0.03)
-    assert poisson_binomial_tail(int(counts.sum()) + 1, probs, counts) == -math.inf
+    for scale in (0.02, 0.2, 1.0):
+        probs, counts = np.append(rng.random(5) * scale, 1.0 if scale == 1.0 else 0.0), rng.integers(5, 40, 6)
+        pmf = np.array([1.0])
+        for q, m in zip(probs, counts):
+            for _ in range(m):
+                pmf = np.convolve(pmf, [1 - q, q])
+        n = np.arange(counts.sum() + 2)
+        tails = np.array([pmf[k:].sum() for k in n])
+        got = poisson_binomial_tails(n, np.repeat(probs[None], len(n), axis=0), counts.astype(float))
+        large = tails > 1e-250
+        assert 10.0 ** got[large] == pytest.approx(tails[large], rel=1e-7) and got[-1] == -math.inf and got[0] == 0
+
+
+def test_null_of_certain_items():
+    # baskets A, Ab, Abc, Abcd: every link is certain; then two more items that two more baskets could have
+    one = np.ones(4)
+    x, y = fit_null(np.array([4.0, 3, 2, 1]), one, np.array([1.0, 2, 3, 4]), one)
+    assert set(np.concatenate([x, y])) <= {0.0, np.inf}
+    graph = np.zeros((6, 6), bool)
+    graph[0], graph[1, :3], graph[2, 2:4], graph[3, 4] = True, True, True, True
+    degrees, items = np.unique(graph.sum(axis=1), return_counts=True)
+    sizes, baskets = np.unique(graph.sum(axis=0), return_counts=True)
+    x, y = fit_null(degrees.astype(float), items.astype(float), sizes.astype(float), baskets.astype(float))
+    p = chance(x, y)
+    assert np.isinf(x[-1]) and p[-1] == pytest.approx(1) and (p * baskets).sum(axis=1) == pytest.approx(degrees) and (p * items[:, None]).sum(axis=0) == pytest.approx(sizes)
+    with pytest.warns(RuntimeWarning):
+        fit_null(np.array([1.0, 5, 9]), np.array([5.0, 3, 2]), np.array([1.0, 3, 5]), np.array([4.0, 6, 3]), rounds=1)
+
+
+def test_spread_sums_equal_local_ones(spark, monkeypatch):
+    from sift.llm import cooccur
+
+    rng = np.random.default_rng(3)
+    x, y, w = rng.random(300), rng.random(70), rng.random(70)
+    whole = cooccur._sums(x, y, w)
+    monkeypatch.setattr(cooccur, "CELLS", 1000)
+    assert cooccur._spread_sums(spark)(x, y, w) == pytest.approx(whole)
 
 
 def test_benjamini_hochberg(spark):
@@ -283,6 +312,8 @@ def test_co_occurrence(spark):
     r = got[(100, 101)]
     assert (r.n_ab, r.n_a, r.n_b, r.ratio) == (15, 15, 15, 10.0) and r.q < 1e-4 and r.expected < 4
     assert all(0 <= x.q <= 1 for x in got.values()) and r.q == min(x.q for x in got.values())
+    few = {(r.item_a, r.item_b): r for r in co_occurrence(spark.createDataFrame(rows, "basket string, item long"), 150, min_count=4).collect()}
+    assert few == {k: v for k, v in got.items() if v.n_ab >= 4}  # the false-discovery rate is the same
     assert co_occurrence(spark.createDataFrame([], "basket string, item long"), 0).count() == 0
 
 

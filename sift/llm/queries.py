@@ -9,7 +9,7 @@ from sift.functions.keys import proper_key
 from sift.functions.text import NOTHING, says_something
 from sift.llm.cooccur import co_occurrence
 from sift.llm.encode import encode_corpus
-from sift.llm.looks import known_tags, one_form, same_looks, tag_forms, video_tags, video_texts
+from sift.llm.looks import known_tags, look_classes, one_form, same_looks, tag_forms, video_tags, video_texts
 from sift.llm.mix import mix_sources
 from sift.llm.split import split_documents
 from sift.llm.survivor import Bundle, Dependency, chosen_records, dependency_support, surviving_records
@@ -116,6 +116,10 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return same_looks(video_texts(videos)).unionByName(tags)
 
 
+def p5_classes(spark: SparkSession, d: str) -> DataFrame:
+    return look_classes(video_texts(_table(spark, d, "videos")))
+
+
 def p5_forms(spark: SparkSession, d: str) -> DataFrame:
     """Every record's title, description and tags in their one form, and folded for comparing."""
     videos = _table(spark, d, "videos")
@@ -156,7 +160,7 @@ def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_documents(_table(spark, d, "documents"), *_limits(spark, d))
 
 
-QUERIES = {"p3_found": p3_found, "p3_pairs": p3_pairs, "p4_found": p4_found, "p4_survivors": p4_survivors, "p4_dependencies": p4_dependencies, "p5_found": p5_found, "p5_forms": p5_forms, "p6_ids": p6_ids, "p7_found": p7_found, "p7_report": p7_report, "p7_mix": p7_mix, "p8_found": p8_found, "p8_pieces": p8_pieces}
+QUERIES = {"p3_found": p3_found, "p3_pairs": p3_pairs, "p4_found": p4_found, "p4_survivors": p4_survivors, "p4_dependencies": p4_dependencies, "p5_found": p5_found, "p5_classes": p5_classes, "p5_forms": p5_forms, "p6_ids": p6_ids, "p7_found": p7_found, "p7_report": p7_report, "p7_mix": p7_mix, "p8_found": p8_found, "p8_pieces": p8_pieces}
 
 _BLANK = "\\s\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}"
 _UNSEEN = "[\\x{00AD}\\x{034F}\\x{061C}\\x{115F}\\x{1160}\\x{17B4}\\x{17B5}\\x{180B}-\\x{180F}\\x{200B}-\\x{200F}\\x{202A}-\\x{202E}\\x{2060}-\\x{206F}\\x{3164}\\x{FE00}-\\x{FE0F}\\x{FEFF}\\x{FFA0}]"

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from sift.llm import bpe as B
 from sift.llm.cooccur import benjamini_hochberg, chance, co_occurrence, fit_null, pair_counts, poisson_binomial_tails
 from sift.llm.encode import append_encoded, encode_corpus, token_counts
-from sift.llm.looks import ALIKE, PLAIN, canonical, known_tags, one_form, same_looks
+from sift.llm import looks as L
+from sift.llm.looks import PLAIN, known_tags, look_alikes, look_classes, one_form, same_looks
 from sift.llm.mix import mix_plan, mix_sources, pivotal
 from sift.llm.split import split_documents
 from sift.llm.survivor import Bundle, Dependency, branch_and_bound, dependency_support, surviving_records, worth
@@ -195,30 +196,37 @@ def test_p7_found_draws(spark, tmp_path, monkeypatch):
 # ---- looks ------------------------------------------------------------------------------------------------------
 
 
-def test_canonical_forms():
-    same = [("ｇａｍｅ　１２", "game 12"), ("Кitсhеn", "Kitchen"), ("café", "café"), ("zero​width­", "zerowidth"), ("芯⽚", "芯片"), ("a b ", "a b"), ("ﬁne", "fine"), ("ё", "ё"), ("ｶﾞ", "ガ"), ("non‑breaking", "non-breaking"), ("Ϲase", "Case"), ("gоοօd", "goood")]
+@pytest.fixture(scope="module")
+def canonical(spark):
+    alike = look_alikes()
+    return lambda text, fold_case=False: L.canonical(text, alike, fold_case)
+
+
+def test_canonical_forms(canonical):
+    same = [("ｇａｍｅ　１２", "game 12"), ("Кitсhеn", "Kitchen"), ("café", "café"), ("zero​width­", "zerowidth"), ("芯⽚", "芯片"), ("a b ", "a b"), ("ﬁne", "fine"), ("ё", "ё"), ("ｶﾞ", "ガ"), ("non‑breaking", "non-breaking"), ("Ϲase", "Case"), ("gоοօd", "goood"), ("Ꭵꓳꓐ", "iOB"), ("ⲟᴏᴄ", "ooc"), ("ロカニ", "口力二"), ("⺠", "民"), ("\U0001bca0a", "a"), ("Ս\u0555", "UO"), ("ⅠI", "II"), ("Ӏ", "I"), ("𐐬", "o")]
     for a, b in same:
         assert canonical(a) == canonical(b), (a, b)
-    for a, b in (("Case", "case"), ("resume", "résumé"), ("学", "學"), ("n", "ñ"), ("a!!", "a")):
+    for a, b in (("Case", "case"), ("resume", "résumé"), ("学", "學"), ("n", "ñ"), ("a!!", "a"), ("1", "l"), ("0", "O"), ("I", "l"), ("m", "rn"), ("ø", "o")):
         assert canonical(a) != canonical(b)
     assert canonical("Straße ΣΑΣ", True) == canonical("STRASSE σασ", True)
-    for x in [*TEXTS[1:], *ALIKE]:
+    for x in [*TEXTS[1:], *map(chr, look_alikes())]:
         assert canonical(canonical(x or "")) == canonical(x or "") and canonical(canonical(x or "", True), True) == canonical(x or "", True)
 
 
-def test_plain_texts_are_their_own_form(spark):
+def test_plain_texts_are_their_own_form(spark, canonical):
     import re
 
     rng = random.Random(6)
-    for _ in range(3000):
-        t = "".join(rng.choice("ab 中カー。A1！ｘаé​") for _ in range(rng.randint(0, 6)))
-        if re.match(PLAIN, t):
-            assert canonical(t) == t
-    rows = spark.createDataFrame([(t,) for t in TEXTS], "t string").select("t", one_form(F.col("t")).alias("f"), one_form(F.col("t"), True).alias("g")).collect()
+    usual = [c for c in map(chr, range(0x20, 0xA000)) if re.match(PLAIN, c)]
+    assert all(len(canonical(c)) == 1 for c in usual)
+    texts = ["".join(rng.choice(usual) for _ in range(rng.randint(0, 9))).replace("  ", " ").strip() for _ in range(5000)] + ["ベへヘ一ーピア緒に"]
+    assert all(canonical(t) == "".join(c if c == " " else canonical(c) for c in t) for t in texts if re.match(PLAIN, t))
+    assert not any(c < 128 or c == ord(to) for c, to in look_alikes().items())
+    rows = spark.createDataFrame([(t,) for t in [*TEXTS, *texts]], "t string").select("t", one_form(F.col("t")).alias("f"), one_form(F.col("t"), True).alias("g")).collect()
     assert all(r.f == (None if r.t is None else canonical(r.t)) and r.g == (None if r.t is None else canonical(r.t, True)) for r in rows)
 
 
-def test_same_looks_equals_brute_force(spark):
+def test_same_looks_equals_brute_force(spark, canonical):
     rng = random.Random(7)
     spell = ["word", "wоrd", "ｗord", "w​ord", "Word", "other", "оther"]
     rows = [(rng.choice(["title", "description"]), i, rng.choice([*spell, None, "word", "word"])) for i in range(200)]
@@ -227,6 +235,10 @@ def test_same_looks_equals_brute_force(spark):
     seen = sorted({r for r in rows if r[2] is not None})
     want = sorted({(f, i, j) for (f, i, a), (g, j, b) in itertools.product(seen, seen) if f == g and i < j and a != b and canonical(a) == canonical(b)})
     assert got == want
+    links = Counter(x for f, i, j in want for x in ((f, i), (f, j)))
+    classes = look_classes(spark.createDataFrame(rows, "field string, record_id long, text string")).collect()
+    assert {(r.field, r.record_id): r.links for r in classes} == dict(links) and all(r.class_id <= r.record_id and r.links < r.records for r in classes)
+    assert look_classes(spark.createDataFrame([], "field string, record_id long, text string")).count() == 0
     catalog = spark.createDataFrame([(1, "word", "c"), (2, None, "c")], "tag_id long, tag string, category string")
     tags = spark.createDataFrame([(1, "ｗord"), (1, "word"), (2, "Word"), (3, None)], "record_id long, tag string")
     assert sorted((r.record_id, r.tag_id, r.tag) for r in known_tags(tags, catalog).collect()) == [(1, 1, "word"), (1, 1, "ｗord")]

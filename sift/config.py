@@ -70,8 +70,12 @@ ROUTES = ("totalrank", "click", "pubdate", "stow", "dm")
 ROUTE_LABELS = {"totalrank": "综合", "click": "播放", "pubdate": "最新", "stow": "收藏", "dm": "弹幕"}
 PAGES, PAGE_SIZE, DETAIL_LIMIT, ONLINE_LIMIT, RESULTS_PER_PAGE = 3, 50, 60, 24, 24
 
-STOP_WORDS = frozenset("a an and are as at be by for from in is it of on or the to with 的 了 和 与 及 或 是 在".split())
-VERSION_WORDS = frozenset("pro max ultra mini plus air se ti super xt edition mark mk ii iii iv v vi vii viii ix x 版 代".split())
+STOP_WORDS = frozenset({
+    "a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "the", "to", "with", "的", "了", "和", "与", "及", "或", "是", "在",
+})
+VERSION_WORDS = frozenset({
+    "pro", "max", "ultra", "mini", "plus", "air", "se", "ti", "super", "xt", "edition", "mark", "mk", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix", "x", "版", "代",
+})
 
 RISK_CODES = (-352, -412, -429, 412, 429)
 #: Order in which characters of the two joined keys form the mixing key.
@@ -79,6 +83,13 @@ MIXIN_ORDER = (
     46, 47, 18, 2, 53, 8, 23, 32, 15, 50, 10, 31, 58, 3, 45, 35, 27, 43, 5, 49, 33, 9, 42, 19, 29, 28, 14, 39, 12, 38, 41, 13,
     37, 48, 7, 16, 24, 55, 40, 61, 26, 17, 0, 1, 60, 51, 30, 4, 22, 25, 54, 21, 56, 59, 6, 63, 57, 62, 11, 36, 20, 34, 44, 52,
 )
+#: Words of a query that ask for the recent.
+RECENCY_WORDS = ("最新", "近期", "最近", "今日", "今天", "当下", "latest", "recent", "current")
+#: Half-lives by what a query says about time, the first that applies: (condition, days, reason).
+HALF_LIVES = (
+    ("recent", 30, "查询包含明确的近期意图"), ("this year", 90, "查询包含当前年份"), ("long ago", 730, "历史主题采用较长时效半衰期"), ("anything", 180, "使用普通时效半衰期"),
+)
+#: Labels of every status that growth and online counts are known under; the engine itself gives the first of each.
 GROWTH_LABELS = {
     "observed": "真实增速", "real": "真实增速", "measured": "真实增速", "actual": "真实增速", "estimated": "平均估算", "estimate": "平均估算", "average": "平均估算",
     "collecting": "积累中", "pending": "积累中", "unavailable": "积累中", "missing": "积累中",

@@ -28,11 +28,16 @@ def clean_tags(csv: Column) -> Column:
     return F.array_distinct(F.filter(cleaned, lambda t: t != ""))
 
 
+def _if_there(rows: DataFrame, name: str) -> Column:
+    """A column that not every source has; NULL without it."""
+    return F.col(name).cast("string") if name in rows.columns else F.lit(None).cast("string")
+
+
 def normalize_cards(cards: DataFrame, base_url: str = BASE_URL) -> DataFrame:
     """Canonical items of search cards, one row per card; cards that aren't videos or have no key are dropped.
 
     Texts are stripped of markup, counters are NULL unless finite and not negative, interaction counters also when 0
-    (a placeholder there). seq orders rows by arrival: route, page, position, card."""
+    (a placeholder there). coin, share and upic (the author's picture) are optional columns. seq orders rows by arrival: route, page, position, card."""
     rows = cards.where((F.col("type") == "video") & (F.coalesce(F.col("bvid"), F.lit("")) != ""))
     key, seconds = F.trim("bvid"), parse_duration(F.col("duration"))
     encoded = F.replace(F.url_encode(key), F.lit("+"), F.lit("%20"))
@@ -40,13 +45,13 @@ def normalize_cards(cards: DataFrame, base_url: str = BASE_URL) -> DataFrame:
     order = F.coalesce("route", F.lit("unknown"))
     stats = {
         "views": safe_number(F.col("play")), "likes": interaction(F.col("like")), "favorites": interaction(F.col("favorites")), "replies": safe_number(F.col("review")),
-        "danmaku": safe_number(F.col("danmaku")), "coins": F.lit(None).cast("double"), "shares": F.lit(None).cast("double"),
+        "danmaku": safe_number(F.col("danmaku")), "coins": interaction(_if_there(rows, "coin")), "shares": interaction(_if_there(rows, "share")),
     }
     return rows.select(
         key.alias("key"), F.struct(rank.alias("r"), F.col("page").alias("p"), F.col("position").alias("i"), F.col("card_id").alias("c")).alias("seq"), safe_number(F.col("aid")).cast("long").alias("aid"),
         strip_html(F.col("title")).alias("title"), strip_html(F.col("description")).alias("description"), clean_tags(F.col("tag")).alias("tags"), strip_html(F.col("typename")).alias("category"),
         F.concat(F.lit(base_url), encoded).alias("url"), https_url(F.col("pic")).alias("coverUrl"), seconds.alias("durationSeconds"), duration_label(F.col("duration"), seconds).alias("durationText"),
-        (safe_number(F.col("pubdate")) * 1000).cast("long").alias("publishedAt"), F.struct(strip_html(F.col("author")).alias("name"), safe_number(F.col("mid")).cast("long").alias("mid")).alias("author"),
+        (safe_number(F.col("pubdate")) * 1000).cast("long").alias("publishedAt"), F.struct(strip_html(F.col("author")).alias("name"), safe_number(F.col("mid")).cast("long").alias("mid"), https_url(_if_there(rows, "upic")).alias("avatar")).alias("author"),
         F.struct(*(v.alias(k) for k, v in stats.items())).alias("stats"),
         F.struct(order.alias("order"), route_label(F.col("route")).alias("orderLabel"), F.coalesce("page", F.lit(1)).alias("page"), F.col("position")).alias("source"),
     )
@@ -62,9 +67,9 @@ def merge_items(items: DataFrame) -> DataFrame:
     longest = lambda c: F.min_by(c, F.struct(-F.length(c), "seq")).alias(c)
     text = lambda c, n: F.coalesce(F.min_by(c, F.when(F.col(c) != "", F.col("seq"))), F.lit("")).alias(n)
     known = lambda c, n: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(n)
-    flat = rows.select("*", F.col("author.name").alias("_name"), F.col("author.mid").alias("_mid"))
+    flat = rows.select("*", F.col("author.name").alias("_name"), F.col("author.mid").alias("_mid"), F.col("author.avatar").alias("_avatar"))
     base = flat.groupBy("key").agg(
-        F.min("seq").alias("seq"), F.count(F.lit(1)).alias("records"), longest("title"), longest("description"), text("category", "category"), text("coverUrl", "coverUrl"), text("durationText", "durationText"), text("_name", "_name"),
+        F.min("seq").alias("seq"), F.count(F.lit(1)).alias("records"), longest("title"), longest("description"), text("category", "category"), text("coverUrl", "coverUrl"), text("durationText", "durationText"), text("_name", "_name"), text("_avatar", "_avatar"),
         known("durationSeconds", "durationSeconds"), known("publishedAt", "publishedAt"), known("_mid", "_mid"), F.min_by("aid", "seq").alias("aid"), F.min_by("url", "seq").alias("url"), *(F.max(f"stats.{m}").alias(f"_{m}") for m in STATS),
     )
     tags = rows.select("key", "seq", F.posexplode("tags").alias("i", "tag")).groupBy("key", "tag").agg(F.min(F.struct("seq", "i")).alias("at"))
@@ -73,7 +78,7 @@ def merge_items(items: DataFrame) -> DataFrame:
     out = base.join(tags, "key", "left").join(sources, "key", "left")
     return out.select(
         "key", "seq", "records", "aid", "title", "description", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), "category", "url", "coverUrl", "durationSeconds", "durationText", "publishedAt",
-        F.struct(F.col("_name").alias("name"), F.col("_mid").alias("mid")).alias("author"), F.struct(*(F.col(f"_{m}").alias(m) for m in STATS)).alias("stats"), "sources",
+        F.struct(F.col("_name").alias("name"), F.col("_mid").alias("mid"), F.col("_avatar").alias("avatar")).alias("author"), F.struct(*(F.col(f"_{m}").alias(m) for m in STATS)).alias("stats"), "sources",
     )
 
 
@@ -128,7 +133,7 @@ def normalize_details(details: DataFrame, source: str = "detail") -> DataFrame:
     return rows.select(
         F.trim("bvid").alias("key"), safe_number(F.col("aid")).cast("long").alias("aid"), strip_html(F.col("title")).alias("title"), strip_html(F.col("desc")).alias("description"), https_url(F.col("pic")).alias("coverUrl"),
         seconds.alias("durationSeconds"), duration_label(F.lit(None).cast("string"), seconds).alias("durationText"), (safe_number(F.col("pubdate")) * 1000).cast("long").alias("publishedAt"),
-        F.struct(strip_html(F.col("owner.name")).alias("name"), safe_number(F.col("owner.mid")).cast("long").alias("mid")).alias("author"),
+        F.struct(strip_html(F.col("owner.name")).alias("name"), safe_number(F.col("owner.mid")).cast("long").alias("mid"), https_url(F.col("owner.face")).alias("avatar")).alias("author"),
         F.struct(*(safe_number(F.col(f"stat.{v}")).alias(k) for k, v in names.items())).alias("stats"), pages.alias("pages"),
         F.coalesce(safe_number(F.col("videos")), F.when(F.size(pages) > 0, F.size(pages).cast("double"))).alias("pageCount"), F.lit(source).alias("source"), F.lit(source != "detail").alias("partial"),
     )
@@ -146,7 +151,7 @@ def enrich(items: DataFrame, details: DataFrame) -> DataFrame:
     rows = items.join(d, "key", "left")
     fill = lambda c, x: F.when(F.coalesce(F.col(c), F.lit("")) == "", F.coalesce(F.col(x), F.col(c), F.lit(""))).otherwise(F.col(c))
     new = {c: fill(c, f"_d.{c}") for c in ("title", "description", "coverUrl", "durationText")} | {c: F.coalesce(c, f"_d.{c}") for c in ("aid", "durationSeconds", "publishedAt")}
-    new["author"] = F.struct(fill("author.name", "_d.author.name").alias("name"), F.coalesce("author.mid", "_d.author.mid").alias("mid"))
+    new["author"] = F.struct(fill("author.name", "_d.author.name").alias("name"), F.coalesce("author.mid", "_d.author.mid").alias("mid"), fill("author.avatar", "_d.author.avatar").alias("avatar"))
     new["stats"] = F.struct(*(F.coalesce(f"_d.stats.{m}", f"stats.{m}").alias(m) for m in STATS))
     new["pages"] = F.col("_d.pages")
     state = F.when(F.col("_d").isNull(), "unavailable").when(F.col("_d.partial"), "partial").otherwise("complete")

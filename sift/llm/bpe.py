@@ -52,6 +52,7 @@ class PrefixBPE:
 
         self.pattern = regex.compile(pattern)
         self.token_bytes = {i: b for b, i in ranks.items()}
+        self.longest = max(map(len, ranks), default=0)
         self._merged: dict[int, int] = {}
         self._span = bytearray(65536)
         order = sorted(ranks.items(), key=lambda x: x[1])
@@ -132,7 +133,7 @@ class PrefixBPE:
         done = 0 if table is None else len(table) - 1
         last = array("i", [-1]) if table is None else array("i", table)
         last.extend([-1] * (len(raw) - done))
-        back = min(done, 128)  # no token is longer
+        back = min(done, self.longest)
         base = done - back
         for end, (tid, n) in self._suffixes.iter(raw[base:].decode("latin-1")):
             end += base + 1
@@ -212,6 +213,24 @@ class EncodedText:
         self._pieces = kept
         return work
 
+    @classmethod
+    def restored(cls, bpe: PrefixBPE, text: str, pieces: list[int], last: array) -> EncodedText:
+        """From what stored() gave for the text."""
+        out, at, done = cls(bpe), 0, 0
+        for n in pieces:
+            raw = text[at : at + n].encode("utf-8", "replace")
+            out._pieces.append((text[at : at + n], raw, array("i", [-1]) + last[done : done + len(raw)]))
+            at, done = at + n, done + len(raw)
+        out.text = text
+        return out
+
+    def stored(self) -> tuple[list[int], array]:
+        """(characters of each piece, last token of each byte prefix of its piece)."""
+        last = array("i")
+        for _, _, table in self._pieces:
+            last.extend(table[1:])
+        return [len(p) for p, _, _ in self._pieces], last
+
     def ids(self) -> list[int]:
         return [t for _, _, table in self._pieces for t in self.bpe.ids_from_table(table)]
 

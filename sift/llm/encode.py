@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sift.llm.bpe import load, tokenizer_path
+from sift.llm.bpe import EncodedText, load, tokenizer_path
 from sift.session import spread
 
 
@@ -60,37 +60,45 @@ def token_counts(df: DataFrame, keep: list[str], text_col: str = "text", path: s
     return rows.mapInArrow(run, schema)
 
 
-def append_encoded(df: DataFrame, id_col: str, text_col: str, ids_col: str, suffix_col: str, path: str | None = None) -> DataFrame:
-    """(id_col, ids): the encoding of text + suffix, from the stored encoding of text.
+def prefix_tables(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+    """(id_col, text, pieces, last): the texts with what edited() needs to go on from them.
 
-    Only the end of the text is encoded again: from the last place where a piece surely begins (a single space after a
-    character that isn't white space, with a piece to spare).  Nulls count as empty texts and empty lists.  ids_col
-    must hold encode_corpus's result for text_col."""
-    file = tokenizer_path(df.sparkSession, path)
+    pieces: characters of each of the pattern's pieces; last: the unique valid last token of each byte prefix within its
+    piece, four bytes a byte of text. Null texts are stored as empty ones; one row per input row, no shuffle."""
+    return _edited(df.select(id_col, F.lit("").alias("text"), F.array().cast("array<int>").alias("pieces"), F.array().cast("array<int>").alias("last"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"), F.col(text_col).alias("new")), id_col, path).drop("ids")
+
+
+def edited(stored: DataFrame, id_col: str = "doc_id", start_col: str = "start", end_col: str = "end", new_col: str = "new", path: str | None = None) -> DataFrame:
+    """(id_col, text, pieces, last, ids): stored texts with [start, end) replaced by new, and their encoding.
+
+    stored: prefix_tables' columns and the edit of each row, counted in characters; a NULL start appends, a NULL end is
+    the start, places beyond the text are its end, a NULL new is empty. Only pieces near the edit are solved again, and
+    of those that grow only the added prefixes; the result can be stored and edited again."""
+    return _edited(stored.select(id_col, "text", "pieces", "last", F.col(start_col).alias("start"), F.col(end_col).alias("end"), F.col(new_col).alias("new")), id_col, path)
+
+
+def _edited(rows: DataFrame, id_col: str, path: str | None) -> DataFrame:
+    file = tokenizer_path(rows.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(file)
         for batch in batches:
-            out = []
-            for text, suffix, ids in zip(_texts(batch.column(1)), _texts(batch.column(2)), batch.column(3).to_pylist()):
-                at, spare = len(text), 2
-                while at > 0:
-                    at = text.rfind(" ", 0, at)
-                    if at <= 0:
-                        at = 0
-                    elif not text[at - 1].isspace():
-                        spare -= 1
-                        if not spare:
-                            break
-                kept, n, left = [], 0, len(text[:at].encode("utf-8", "replace"))
-                for tid in ids or []:
-                    if n >= left:
-                        break
-                    kept.append(tid)
-                    n += len(bpe.token_bytes[tid])
-                out.append(kept + array("i", bpe.encode_raw(text[at:] + suffix)).tolist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], names=[id_col, "ids"])
+            texts, pieces, tables, ids = [], [], [], []
+            starts, ends = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+            for text, cut, last, start, end, new in zip(_texts(batch.column(1)), batch.column(2), batch.column(3), starts, ends, _texts(batch.column(6))):
+                doc = EncodedText.restored(bpe, text, cut.values.to_pylist(), array("i", last.values.to_numpy().tobytes()))
+                start = len(text) if start is None else min(max(start, 0), len(text))
+                doc.replace(start, max(start, start if end is None else min(end, len(text))), new)
+                lengths, table = doc.stored()
+                texts.append(doc.text)
+                pieces.append(lengths)
+                tables.append(table.tolist())
+                ids.append(doc.ids())
+            lists = [pa.array(x, pa.list_(pa.int32())) for x in (pieces, tables, ids)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), *lists], names=[id_col, "text", "pieces", "last", "ids"])
             bpe.trim()
 
-    schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return df.select(id_col, F.col(text_col).cast("binary").alias("_t"), F.col(suffix_col).cast("binary").alias("_s"), ids_col).mapInArrow(run, schema)
+    numbers = T.ArrayType(T.IntegerType())
+    schema = T.StructType([rows.schema[id_col], T.StructField("text", T.StringType()), *(T.StructField(c, numbers) for c in ("pieces", "last", "ids"))])
+    binary = rows.withColumns({c: F.col(c).cast("binary") for c in ("text", "new")}).withColumns({c: F.coalesce(c, F.array().cast("array<int>")) for c in ("pieces", "last")})
+    return binary.mapInArrow(run, schema)

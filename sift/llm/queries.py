@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sift.functions.keys import proper_key
 from sift.functions.text import NOTHING, says_something
 from sift.llm.cooccur import co_occurrence
-from sift.llm.encode import encode_corpus
+from sift.llm.encode import edited, encode_corpus, prefix_tables
 from sift.llm.looks import known_tags, look_classes, one_form, same_looks, tag_forms, video_tags, video_texts
 from sift.llm.mix import mix_sources
 from sift.llm.split import split_documents
@@ -133,6 +133,22 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(_table(spark, d, "documents"))
 
 
+def p6_appended(spark: SparkSession, d: str) -> DataFrame:
+    """Each document's encoding after its address was appended to the stored one."""
+    docs = _table(spark, d, "documents")
+    end = F.lit(None).cast("int")
+    edits = docs.select("doc_id", F.concat(F.lit("\n\n"), "url").alias("new"), end.alias("start"), end.alias("end"))
+    return edited(prefix_tables(docs).join(edits, "doc_id")).select("doc_id", "ids")
+
+
+def p6_edited(spark: SparkSession, d: str) -> DataFrame:
+    """Each document's encoding after a word in its middle was replaced in the stored one."""
+    docs = _table(spark, d, "documents")
+    half_way = F.floor(F.length("text") / 2).cast("int")
+    edits = docs.select("doc_id", half_way.alias("start"), (half_way + 5).alias("end"), F.lit(" edited ").alias("new"))
+    return edited(prefix_tables(docs).join(edits, "doc_id")).select("doc_id", "ids")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     _, report = mix_sources(_table(spark, d, "documents"), _table(spark, d, "mix_targets"))
     return report.where("short").select("source")
@@ -160,7 +176,13 @@ def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_documents(_table(spark, d, "documents"), *_limits(spark, d))
 
 
-QUERIES = {"p3_found": p3_found, "p3_pairs": p3_pairs, "p4_found": p4_found, "p4_survivors": p4_survivors, "p4_dependencies": p4_dependencies, "p5_found": p5_found, "p5_classes": p5_classes, "p5_forms": p5_forms, "p6_ids": p6_ids, "p7_found": p7_found, "p7_report": p7_report, "p7_mix": p7_mix, "p8_found": p8_found, "p8_pieces": p8_pieces}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p3_found, p3_pairs, p4_found, p4_survivors, p4_dependencies, p5_found, p5_classes, p5_forms,
+        p6_ids, p6_appended, p6_edited, p7_found, p7_report, p7_mix, p8_found, p8_pieces,
+    )
+}
 
 _BLANK = "\\s\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}"
 _UNSEEN = "[\\x{00AD}\\x{034F}\\x{061C}\\x{115F}\\x{1160}\\x{17B4}\\x{17B5}\\x{180B}-\\x{180F}\\x{200B}-\\x{200F}\\x{202A}-\\x{202E}\\x{2060}-\\x{206F}\\x{3164}\\x{FE00}-\\x{FE0F}\\x{FEFF}\\x{FFA0}]"

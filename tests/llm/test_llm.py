@@ -9,9 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from sift.llm import bpe as B
-from sift.llm.cooccur import benjamini_hochberg, chance, co_occurrence, fit_null, pair_counts, poisson_binomial_tails
-from sift.llm.encode import append_encoded, encode_corpus, token_counts
 from sift.llm import looks as L
+from sift.llm.cooccur import benjamini_hochberg, chance, co_occurrence, fit_null, pair_counts, poisson_binomial_tails
+from sift.llm.encode import edited, encode_corpus, prefix_tables, token_counts
 from sift.llm.looks import PLAIN, known_tags, look_alikes, look_classes, one_form, same_looks
 from sift.llm.mix import mix_plan, mix_sources, pivotal
 from sift.llm.split import split_documents
@@ -75,11 +75,23 @@ def test_corpus(spark, public):
     assert encode_corpus(broken).first().ids == public("a�b")
 
 
-def test_append_encoded(spark, public):
-    pairs = [(t, s) for t in TEXTS for s in (None, "", "s", " more text", "\n\n", "中文")]
-    df = spark.createDataFrame([(i, t, s) for i, (t, s) in enumerate(pairs)], "doc_id long, text string, suffix string").join(encode_corpus(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(pairs)], "doc_id long, text string")), "doc_id")
-    got = {r.doc_id: r.ids for r in append_encoded(df, "doc_id", "text", "ids", "suffix").collect()}
-    assert got == {i: public((t or "") + (s or "")) for i, (t, s) in enumerate(pairs)}
+def test_stored_texts_are_edited(spark, public):
+    rng = random.Random(4)
+    edits = [(t, None, None, s) for t in TEXTS for s in (None, "", "s", " more text", "\n\n", "中文")]
+    edits += [(t, rng.randint(-1, 30), rng.choice([None, 10, 40, 9999]), rng.choice(["", "x", " new ", "\n"])) for t in TEXTS for _ in range(4)]
+    df = spark.createDataFrame([(i, *e, "x") for i, e in enumerate(edits)], "doc_id long, text string, start int, end int, new string, ids string")
+    stored = prefix_tables(df)
+    twice = edited(edited(stored.join(df.drop("text"), "doc_id")).drop("ids").withColumns({"start": F.lit(1), "end": F.lit(2), "new": F.lit("é ")}))
+    once = {r.doc_id: r for r in edited(stored.join(df.drop("text", "ids"), "doc_id")).collect()}
+    again = {r.doc_id: r for r in twice.collect()}
+    for i, (t, a, b, new) in enumerate(edits):
+        t = t or ""
+        a = len(t) if a is None else min(max(a, 0), len(t))
+        want = t[:a] + (new or "") + t[max(a, a if b is None else min(b, len(t))) :]
+        assert once[i].text == want and once[i].ids == public(want)
+        a = min(1, len(want))
+        assert again[i].ids == public(want[:a] + "é " + want[max(a, min(2, len(want))) :])
+    assert prefix_tables(df.where("false")).count() == 0
 
 
 # ---- splitting --------------------------------------------------------------------------------------------------

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sift.config import HISTORY, HistoryPolicy
+from sift.functions.numbers import valid_stat
 from sift.operators.readings import shard_by_time
+from sift.session import remove
 
 #: Times of one source in a shard.
 SHARD_ROWS = 20_000
@@ -103,3 +105,40 @@ def snapshots_for(history: DataFrame, keys: DataFrame, now_ms: int, policy: Hist
 def recordable(items: DataFrame) -> DataFrame:
     """Items whose counters are authoritative, so that no placeholder becomes a baseline."""
     return items.where(F.col("enrichment.detail").isin("complete", "partial"))
+
+
+class HistoryStore:
+    """The metric history as a durable table in a folder: each record() writes a new version beside the last one and
+    then removes older ones, so a reader or a lost executor never meets a half-written table.
+
+    An absent folder is an empty history; folders without a finished version are ignored."""
+
+    SCHEMA = "source string, at long, stats struct<views:double,likes:double,favorites:double,replies:double,danmaku:double,coins:double,shares:double>"
+
+    def __init__(self, spark: SparkSession, folder: str, policy: HistoryPolicy = HISTORY):
+        self.spark, self.folder, self.policy = spark, folder.rstrip("/"), policy
+
+    def _versions(self) -> list[int]:
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.folder)
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [s.getPath().getName() for s in files.listStatus(path)] if files.exists(path) else []
+        done = lambda n: files.exists(jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{n}/_SUCCESS"))
+        return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and done(n))
+
+    def read(self) -> DataFrame:
+        versions = self._versions()
+        return self.spark.read.schema(self.SCHEMA).parquet(f"{self.folder}/v{versions[-1]}") if versions else self.spark.createDataFrame([], self.SCHEMA)
+
+    def record(self, items: DataFrame, now_ms: int) -> None:
+        """Add the authoritative items' counters of now, of those with a key and one known counter at least whose last
+        kept snapshot is an interval old; drop what is too old or too much."""
+        versions = self._versions()
+        names = [f.name for f in self.read().schema["stats"].dataType.fields]
+        new = recordable(items).where(F.col("key").isNotNull()).select(F.col("key").alias("source"), F.lit(now_ms).cast("long").alias("at"), F.struct(*(valid_stat(F.col(f"stats.{m}")).alias(m) for m in names)).alias("stats"))
+        new = new.where(F.coalesce(*(F.col(f"stats.{m}") for m in names)).isNotNull())
+        kept = retain(sample_history(self.read().unionByName(new), self.policy), now_ms, self.policy)
+        version = (versions[-1] if versions else 0) + 1
+        kept.write.mode("overwrite").parquet(f"{self.folder}/v{version}")
+        for old in versions:
+            remove(self.spark, f"{self.folder}/v{old}")

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sift.config import HISTORY, RESULTS_PER_PAGE, ROUTES
+from sift.config import HISTORY, MIXIN_ORDER, RESULTS_PER_PAGE, ROUTES
 from sift.functions.keys import PROPER_KEY, proper_key
 from sift.functions.numbers import duration_label, format_count, format_date, format_score, lenient_online, page_context, round_duration, safe_number, strip_tab_count
 from sift.functions.text import compact_text, ngram_containment, normalize_text, ordered_terms, strip_html, substring_similarity, trim_all
@@ -22,7 +22,7 @@ from sift.operators.relevance import evaluate, exact_term, matchable
 from sift.plans import sql as S
 from sift.plans.search import SearchResult, search, search_cards, search_many
 from sift.query import Term, parse
-from sift.session import ensure_checkpoint_dir
+from sift.session import cut, ensure_checkpoint_dir, remove
 from sift.sources import requests as R
 from sift.streaming.history import sample_stream
 
@@ -104,9 +104,11 @@ def signed_requests(spark, d):
 
 
 def tab_labels(spark, d):
-    made = F.concat("category", F.lit(" "), F.coalesce("tag_id", F.lit(0)).cast("string"), F.when(F.col("tag_id") % 2 == 0, "+").otherwise(""))
-    path, word = page_context(F.concat(F.lit("https://video.example/search/all?page=2&keyword="), F.url_encode("category"), F.lit("&order=click")))
-    return _t(spark, d, "tag_catalog").select("tag_id", strip_tab_count(made).alias("label"), path.alias("path"), word.alias("keyword"))
+    """Labels like those of a page's tabs, made of card titles and counts, and the context of page addresses."""
+    cards = _t(spark, d, "search_cards")
+    made = F.concat(F.trim(F.coalesce("typename", F.lit(""))), F.lit(" "), F.when(F.col("play") > 99, F.lit("99+")).otherwise(F.coalesce(F.col("play").cast("string"), F.lit(""))))
+    path, word = page_context(F.concat(F.lit("https://video.example/search/"), "route", F.lit("?page="), F.col("page").cast("string"), F.lit("&keyword="), F.url_encode(F.col("author")), F.lit("&order=click")))
+    return cards.select("card_id", strip_tab_count(made).alias("label"), path.alias("path"), word.alias("keyword"))
 
 
 # ---- matching ---------------------------------------------------------------------------------------------------
@@ -276,17 +278,43 @@ def snapshots_of_items(spark, d):
     return found.select("source", F.size("snapshots").cast("long").alias("n"))
 
 
-def streamed_history(spark, d):
-    """The streaming twin over the snapshots as they arrived, to a file sink in the shared folder."""
+def _shared_folder(spark) -> str:
     ensure_checkpoint_dir(spark)
-    base = f"{spark.sparkContext.getCheckpointDir()}/stream-{os.urandom(6).hex()}"
+    return f"{spark.sparkContext.getCheckpointDir()}/work-{os.urandom(6).hex()}"
+
+
+def streamed_history(spark, d):
+    """The streaming twin over the snapshots as they come, to a file sink in the shared folder.
+
+    Readings land in four slices of time, then one of them once more, late; after each the stream is started again from
+    its state and runs until it has read everything."""
+    base = _shared_folder(spark)
     landed, out = f"{base}/in", f"{base}/out"
-    timed = _timed(spark, d)
-    timed.write.parquet(landed)
-    stream = spark.readStream.schema(timed.schema).parquet(landed)
-    run = sample_stream(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.read.schema("source string, at long, reading long").parquet(out).select("source", "at")
+    timed = _timed(spark, d).where("at is not null")
+    timed.write.parquet(f"{base}/all")
+    every = spark.read.parquet(f"{base}/all")
+    edges = every.approxQuantile("at", [0.25, 0.5, 0.75], 0.01) if not every.isEmpty() else []
+    low = F.col("at") < edges[0] if edges else F.lit(True)
+    slices = [low, *((F.col("at") >= a) & (F.col("at") < b) for a, b in zip(edges, edges[1:])), *([F.col("at") >= edges[-1]] if edges else []), low]
+    for part in slices:
+        every.where(part).write.mode("append").parquet(landed)
+        stream = spark.readStream.schema(timed.schema).parquet(landed)
+        run = sample_stream(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start()
+        run.awaitTermination()
+    kept = cut(spark.read.schema("source string, at long, reading long").parquet(out).select("source", "at"))
+    remove(spark, base)
+    return kept
+
+
+def recorded_history(spark, d):
+    """Three rounds of recording the enriched items into a durable store: the second comes too early and keeps nothing."""
+    base = _shared_folder(spark)
+    store, items = H.HistoryStore(spark, base, H.HistoryPolicy(keep_items=10_000_000)), cut(_items(spark, d))
+    for minutes in (0, 20, 40):
+        store.record(items, NOW_MS + minutes * 60_000)
+    kept = cut(store.read().select("source", "at", "stats.views", "stats.likes"))
+    remove(spark, base)
+    return kept
 
 
 QUERIES = {
@@ -294,12 +322,12 @@ QUERIES = {
     for f in (
         card_texts, card_items, detail_items, online_counts, video_keys, snapshot_times, duration_labels, payload_kinds, signed_requests, tab_labels, exact_terms, fuzzy_similarity, ngram_affinity, merged_items, pool_stats,
         recalled_routes, enriched_items, first_details, fallback_details, chosen_parts, relevance, relevance_syntax, quality_scores, growth_scores, timeliness_scores, rank_all_views, ranking_stats, rejected_items, shortlist,
-        online_shortlist, page_two, shortlisted_search, search_batch, result_page, display_texts, sampled_history, kept_history, snapshots_of_items, streamed_history,
+        online_shortlist, page_two, shortlisted_search, search_batch, result_page, display_texts, sampled_history, kept_history, snapshots_of_items, streamed_history, recorded_history,
     )
 }
 
 _N = S.norm("title")
-_MIX = "regexp_replace(array_to_string([substr(md5(bvid) || md5(route), x + 1, 1) for x in [46,47,18,2,53,8,23,32,15,50,10,31,58,3,45,35,27,43,5,49,33,9,42,19,29,28,14,39,12,38,41,13]], ''), '$', '')"
+_MIX = f"array_to_string([substr(md5(bvid) || md5(route), x + 1, 1) for x in {list(MIXIN_ORDER[:32])}], '')"
 _SCORED = f"WITH {S.ENRICHED}, {S.quality()}, {S.growth(NOW_MS)}, {S.timeliness(NOW_MS, 180)}"
 _RANKED = f"{_SCORED}, {S.relevance_two(*QUERY.split())}, {S.ranked()}"
 _WALK = f"""
@@ -350,7 +378,9 @@ SELECT record_id, regexp_matches(regexp_replace(raw, '^[\\s\\x{{3000}}\\x{{00A0}
     "signed_requests": f"""
 WITH c AS (SELECT *, concat_ws('&', 'keyword=' || {_URL.format("regexp_replace(author, '[!''()*]', '', 'g')")}, 'order=' || route, 'page=' || page::VARCHAR, 'tid=' || nullif(position, 1)::VARCHAR, 'wts=1788782400') AS q, {_MIX} AS k FROM search_cards)
 SELECT card_id, q || '&w_rid=' || md5(q || k) AS signed, concat_ws('&', 'keyword=' || replace(url_encode(author), '%20', '+'), 'order=' || route, 'page=' || page::VARCHAR, 'tid=' || nullif(position, 1)::VARCHAR) AS plain FROM c""",
-    "tab_labels": "SELECT tag_id, category AS label, '/search/all' AS path, category AS keyword FROM tag_catalog",
+    "tab_labels": """
+WITH c AS (SELECT *, trim(coalesce(typename, '')) || ' ' || CASE WHEN play > 99 THEN '99+' ELSE coalesce(play::VARCHAR, '') END AS made, route IS NOT NULL AND page IS NOT NULL AND author IS NOT NULL AS whole FROM search_cards)
+SELECT card_id, trim(regexp_replace(trim(made), '\\s*[0-9]+\\+?\\s*$', '')) AS label, CASE WHEN whole THEN '/search/' || route END AS path, CASE WHEN whole THEN trim(author) ELSE '' END AS keyword FROM c""",
     "exact_terms": _TITLES + " SELECT card_id, " + ", ".join(f"({_exact(k)}) AS {k}" for k in EXACT) + " FROM t",
     "fuzzy_similarity": f"{_TITLES}, u AS (SELECT card_id, c, regexp_replace(c, '[^\\x00-\\x7F]', '~', 'g') AS h FROM t), s AS (SELECT card_id, CASE WHEN contains(c, '{FUZZY_NEEDLE}') THEN 1.0 WHEN length(h) BETWEEN 1 AND 2000 THEN greatest({_WINDOWS}) ELSE 0.0 END AS s FROM u) SELECT card_id, CASE WHEN s >= 0.74 THEN round(s, 6) ELSE 0.0 END::DOUBLE AS similarity FROM s",
     "ngram_affinity": _TITLES + " SELECT card_id, CASE WHEN contains(c, '网球决赛') THEN 1.0 ELSE round(((contains(c, '网球'))::INT + (contains(c, '球决'))::INT + (contains(c, '决赛'))::INT) / 3.0::DOUBLE, 6) END::DOUBLE AS affinity, regexp_matches(c, '网球.*回放') AS ordered FROM t",
@@ -382,6 +412,8 @@ SELECT key, coalesce(asked, good[1]).cid AS cid, coalesce(asked, good[1]).page A
     "sampled_history": f"{_WALK} SELECT source, \"at\" FROM k",
     "kept_history": f"{_WALK}, n AS (SELECT source FROM young GROUP BY source ORDER BY max(\"at\") DESC, source LIMIT {HISTORY.keep_items}) SELECT source, \"at\" FROM young SEMI JOIN n USING (source)",
     "snapshots_of_items": f"{_WALK} SELECT d.bvid AS source, count(y.\"at\") AS n FROM (SELECT DISTINCT bvid FROM video_details) d LEFT JOIN (SELECT * FROM young WHERE \"at\" <= {NOW_MS}) y ON y.source = d.bvid GROUP BY d.bvid",
+    "recorded_history": f"""WITH {S.ENRICHED}, r AS (SELECT key AS source, {", ".join(f"CASE WHEN {m} >= 0 AND isfinite({m}) THEN {m} END AS {m}" for m in S.STATS)} FROM items WHERE detail IN ('complete', 'partial'))
+SELECT source, "at", views, likes FROM r, (SELECT unnest([{NOW_MS}, {NOW_MS + 40 * 60_000}]) AS "at") WHERE coalesce({", ".join(S.STATS)}) IS NOT NULL""",
     "streamed_history": f"{_WALK} SELECT source, \"at\" FROM k",
     "display_texts": """
 WITH x AS (SELECT trim(bvid) AS key, stat."view"::DOUBLE AS v, stat."like"::DOUBLE AS l, pubdate FROM video_details)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -12,6 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Inputs up to this size may be shuffled for parallelism alone.
+SPREAD_BYTES = 256 << 20
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder named in spark.checkpoint.dir; only where none is named (tests) take a temporary one."""
     sc = spark.sparkContext
@@ -21,6 +27,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
             if sc.master != "local" and not sc.master.startswith("local["):
                 raise ValueError("set spark.checkpoint.dir to a folder all executors share")
             folder = os.path.join(tempfile.gettempdir(), f"sift-checkpoints-{os.getpid()}")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
         sc.setCheckpointDir(folder)
 
 
@@ -31,10 +38,17 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores where a small input came as fewer partitions than there are cores; larger inputs are left
-    as they are."""
+    """df over all cores where it came as fewer partitions than there are cores and its optimizer's size is within
+    SPREAD_BYTES; larger inputs are left as their files are, never shuffled as a whole. Rows don't change."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(2 * cores) if size <= SPREAD_BYTES and df.rdd.getNumPartitions() < cores else df
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of any file system Spark knows."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stage(df: DataFrame) -> DataFrame:

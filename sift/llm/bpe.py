@@ -53,6 +53,7 @@ class PrefixBPE:
         self.pattern = regex.compile(pattern)
         self.token_bytes = {i: b for b, i in ranks.items()}
         self.longest = max(map(len, ranks), default=0)
+        self._tables: dict[bytes, array] = {}
         self._merged: dict[int, int] = {}
         self._span = bytearray(65536)
         order = sorted(ranks.items(), key=lambda x: x[1])
@@ -144,6 +145,13 @@ class PrefixBPE:
                 last[end] = tid
         return last
 
+    def table_of(self, raw: bytes) -> array:
+        """last_tokens of a whole piece, kept for the next time; not to be changed."""
+        table = self._tables.get(raw)
+        if table is None:
+            table = self._tables[raw] = self.last_tokens(raw)
+        return table
+
     def ids_from_table(self, last: array) -> list[int]:
         out, i = [], len(last) - 1
         while i > 0:
@@ -172,7 +180,7 @@ class PrefixBPE:
         return b"".join(map(get, self.segments(raw))) if len(raw) > 1 else get(raw)
 
     def trim(self) -> None:
-        for memo in (self._pieces, self._segments):
+        for memo in (self._pieces, self._segments, self._tables):
             if len(memo) > self.MEMO_SIZE:
                 memo.clear()
 
@@ -208,7 +216,7 @@ class EncodedText:
         work = 0
         for piece in self.bpe.pieces(self.text[at:]):
             raw = piece.encode("utf-8", "replace")
-            kept.append((piece, raw, self.bpe.last_tokens(raw)))
+            kept.append((piece, raw, self.bpe.table_of(raw)))
             work += len(raw)
         self._pieces = kept
         return work
@@ -268,7 +276,7 @@ class EncodedText:
                 work += len(raw) - (len(grown) - 1)
             else:
                 work += len(raw)
-            kept.append((piece, raw, self.bpe.last_tokens(raw, grown)))
+            kept.append((piece, raw, self.bpe.table_of(raw) if grown is None else self.bpe.last_tokens(raw, grown)))
             pos = match.end()
         self._pieces = kept
         return work

@@ -101,4 +101,4 @@ def _edited(rows: DataFrame, id_col: str, path: str | None) -> DataFrame:
     numbers = T.ArrayType(T.IntegerType())
     schema = T.StructType([rows.schema[id_col], T.StructField("text", T.StringType()), *(T.StructField(c, numbers) for c in ("pieces", "last", "ids"))])
     binary = rows.withColumns({c: F.col(c).cast("binary") for c in ("text", "new")}).withColumns({c: F.coalesce(c, F.array().cast("array<int>")) for c in ("pieces", "last")})
-    return binary.mapInArrow(run, schema)
+    return spread(binary).mapInArrow(run, schema)

@@ -30,6 +30,8 @@ NOW_MS = 1_788_782_400_000  # 2026-09-07 12:00 UTC
 QUERY = "网球 教程"
 EXACT = {"cjk": "网球", "digits": "12", "letters": "kitchen", "mixed": "x10", "short": "4k"}
 FUZZY_NEEDLE = "keybord"
+SYNTAX = {"mixed": 'kitchn "4k" -server 网球训练比赛', "misspelt": "keybord", "run": "网球训练比赛", "model": 'the camera x10 pro 2017 -"机器人"'}
+BATCH = {"a": QUERY, "b": "kitchen 4k", "c": '"机器人" -雪山'}
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -188,9 +190,13 @@ def relevance(spark, d):
 
 
 def relevance_syntax(spark, d):
-    """A query with a model number, a quoted phrase and an exclusion; fuzzy terms too."""
-    rows = evaluate(matchable(_items(spark, d)), 'kitchn "4k" -server 网球训练比赛')
-    return rows.select("key", F.round("relevance.value", 6).alias("value"), F.round("relevance.coverage", 6).alias("coverage"), "relevance.passes", F.array_join("relevance.rejection_reasons", "|").alias("reasons"))
+    """Queries with model numbers, quoted phrases, exclusions, unspaced runs, misspellings and stop words."""
+    items, out = matchable(_items(spark, d)), None
+    for name, query in SYNTAX.items():
+        rows = evaluate(items, query)
+        told = rows.select(F.lit(name).alias("query_id"), "key", F.round("relevance.value", 6).alias("value"), F.round("relevance.coverage", 6).alias("coverage"), "relevance.passes", F.array_join("relevance.rejection_reasons", "|").alias("reasons"))
+        out = told if out is None else out.unionByName(told)
+    return out
 
 
 def quality_scores(spark, d):
@@ -243,7 +249,7 @@ def shortlisted_search(spark, d):
 
 
 def search_batch(spark, d):
-    many = search_many(_items(spark, d), {"a": QUERY, "b": "kitchen 4k", "c": '"机器人" -雪山'}, NOW_MS, _t(spark, d, "snapshots"), _online(spark, d))
+    many = search_many(_items(spark, d), BATCH, NOW_MS, _t(spark, d, "snapshots"), _online(spark, d))
     return many.select("query_id", "view", "position", "key")
 
 
@@ -400,6 +406,8 @@ WITH d AS (SELECT trim(bvid) AS key, list_filter(list_transform(coalesce(pages,
 e AS (SELECT key, good, list_filter(good, lambda p: p.page = 2)[1] AS asked FROM d)
 SELECT key, coalesce(asked, good[1]).cid AS cid, coalesce(asked, good[1]).page AS page, CASE WHEN len(good) > 0 THEN CASE WHEN asked IS NOT NULL THEN 'requested-page' ELSE 'first-page-fallback' END END AS selection, len(good) > 1 AS multi_part FROM e""",
     "relevance": f"{_RANKED} SELECT key, round(relevance, 6) AS value, round(coverage, 6) AS coverage, round(title_coverage, 6) AS title_coverage, round(phrase, 6) AS phrase, passes, n_reasons::BIGINT AS n_reasons FROM judged",
+    "relevance_syntax": " UNION ALL ".join(f"SELECT * FROM (WITH {S.ENRICHED}, {S.relevance_of(parse(q), 'items')} SELECT '{name}' AS query_id, key, round(relevance, 6) AS value, round(coverage, 6) AS coverage, passes, reasons FROM judged)" for name, q in SYNTAX.items()),
+    "search_batch": " UNION ALL ".join(f"SELECT * FROM ({_SCORED}, {S.relevance_of(parse(q))}, {S.ranked()} SELECT '{name}' AS query_id, view, position, key FROM ranked)" for name, q in BATCH.items()),
     "quality_scores": f"WITH {S.ENRICHED}, {S.quality()} SELECT key, round(quality, 6) AS value, round(0.65 * q_abs + 0.35 * q_rate, 6) AS raw, round(q_full, 6) AS completeness, round(q_abs, 6) AS absolute, round(q_rate, 6) AS rate FROM scored_q",
     "growth_scores": f"{_SCORED} SELECT key, round(growth, 6) AS value, round((CASE WHEN g_seen > 0 THEN g_seen ELSE g_life END)::DOUBLE, 6) AS completeness, round((CASE WHEN g_status = 'unavailable' THEN 0.0 ELSE g_trust END)::DOUBLE, 6) AS confidence, round(g_hours, 6) AS observation_hours, g_status AS status FROM scored_g",
     "timeliness_scores": f"{_SCORED} SELECT key, round(timeliness, 6) AS value, round(online, 6) AS online_count, CASE WHEN recency IS NULL THEN 0::DOUBLE ELSE 0.65 END + CASE WHEN heat IS NULL THEN 0::DOUBLE ELSE 0.35 END AS completeness FROM scored",

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from sift.config import FIELDS, GROWTH, QUALITY, ROUTE_LABELS, ROUTES, VIEWS
+from sift.config import ANCHORS, CORE, FIELDS, FUZZY_FACTOR, GROWTH, QUALITY, RELAXED_COVERAGE, ROUTE_LABELS, ROUTES, STRONG_FUZZY, VERSION_WORDS, VIEWS
+from sift.query import ParsedQuery, Term
+from sift.query import compact as packed_query
 
 _FULL = "".join(map(chr, range(0xFF01, 0xFF5F))) + "　"
 _HALF = ("".join(map(chr, range(0x21, 0x7F))) + " ").replace("'", "''")
@@ -187,6 +189,87 @@ r3 AS (SELECT *, {clamp("0.5 * field_score + 0.25 * coverage + 0.13 * title_cove
 judged AS (SELECT *, relevance >= 0.35 AND coverage >= 0.5 AND (core OR by_author) AS passes, (CASE WHEN relevance < 0.35 THEN 1 ELSE 0 END + CASE WHEN coverage < 0.5 THEN 1 ELSE 0 END + CASE WHEN core OR by_author THEN 0 ELSE 1 END) AS n_reasons FROM r3)"""
 
 
+def exact(t: Term, n: str, c: str) -> str:
+    """Whether a term occurs as such in a normalised text and its compact form."""
+    k = t.compact
+    if not all(x.isascii() and (x.isalnum() or x in "+#._-") for x in k):
+        return f"contains({c}, '{k}')"
+    if k.isdigit():
+        return f"regexp_matches({n}, '(^|[^0-9]){k}([^0-9]|$)')"
+    if k.isalpha() and t.text.isascii() and t.text.isalpha():
+        return f"regexp_matches({n}, '(^|[^a-z]){k}([^a-z]|$)')"
+    left, quoted = "[^a-z]" if k[0].isalpha() else "[^a-z0-9]", [f"[{x}]" for x in k]
+    loose = "[\\s._-]*".join(quoted)
+    return f"(regexp_matches({n}, '(^|{left}){loose}([^a-z0-9]|$)') OR regexp_matches({c}, '(^|{left}){''.join(quoted)}([^a-z0-9]|$)'))"
+
+
+def similar(t: Term, c: str) -> str:
+    """Similarity of a term to the windows of a compact text from 0.74 up, else 0. DuckDB's distance counts bytes, so the
+    term's letters are mapped to one byte each and all other wide letters to another."""
+    k = t.compact
+    if len(k) < 3 or (k.isascii() and (k.isdigit() or (k.isalpha() and len(k) < 5))):
+        return "0.0::DOUBLE"
+    wide = "".join(sorted({x for x in k if not x.isascii()}))
+    signs = "".join(map(chr, range(0x41, 0x41 + len(wide))))  # texts are in lower case
+    needle = k.translate(str.maketrans(wide, signs))
+    hay = f"regexp_replace(translate({c}, '{wide}', '{signs}'), '[^\\x00-\\x7F]', '~', 'g')"
+    windows = ", ".join(f"list_max(list_transform(range(1, length(h) + 1), lambda i: 1 - levenshtein('{needle}', substr(h, i, {w})) / greatest({len(k)}, length(substr(h, i, {w})))::DOUBLE))" for w in (len(k) - 1, len(k), len(k) + 1))
+    near = f"(SELECT CASE WHEN contains(h, '{needle}') THEN 1.0 WHEN length(h) BETWEEN 1 AND 2000 THEN greatest({windows}) ELSE 0.0 END FROM (SELECT {hay} AS h))"
+    return f"(SELECT CASE WHEN x >= 0.74 THEN x ELSE 0.0 END FROM (SELECT {near}::DOUBLE AS x))"
+
+
+def relevance_of(q: ParsedQuery, source: str = "scored") -> str:
+    """Relevance of any query, as CTEs ending in judged (relevance, coverage, passes, reasons)."""
+    texts = {"title": "title", "tags": "array_to_string(tags, ' ')", "description": "description", "author": "author", "category": "category"}
+    texts["all"] = "concat_ws(' ', " + ", ".join(f"coalesce({x}, '')" for x in texts.values()) + ")"
+    names, every = [f.name for f in FIELDS], range(len(q.terms))
+    forms = ", ".join(f"{norm(x)} AS n_{k}" for k, x in texts.items())
+    packed = ", ".join(f"{compact(f'n_{k}')} AS c_{k}" for k in texts)
+    hit = lambda t, f: exact(t, f"n_{f}", f"c_{f}")
+    hits = ", ".join(f"{hit(q.terms[i], f)} AS e{i}_{f}" for i in every for f in names)
+    near = ", ".join(f"CASE WHEN e{i}_{f} THEN 0.0 ELSE {similar(q.terms[i], f'c_{f}')} END AS s{i}_{f}" for i in every for f in names)
+    conf = lambda i, f: f"(CASE WHEN e{i}_{f} THEN 1.0 ELSE s{i}_{f} * {FUZZY_FACTOR} END)::DOUBLE"
+    most = lambda i, fields: "greatest(" + ", ".join(conf(i, f) for f in fields) + ")"
+    total = sum(t.weight for t in q.terms)
+    mean = lambda of: "(" + " + ".join(f"{q.terms[i].weight}::DOUBLE * {of(i)}" for i in every) + f") / {total}::DOUBLE"
+    any_ = lambda xs: "(" + " OR ".join([*xs, "false"]) + ")"
+    whole = Term(q.normalized, q.compact)
+    cascade = [(hit(whole, "title"), "1.0", "title"), (hit(whole, "tags"), "0.75", "tags"), (hit(whole, "description"), "0.65", "description"), (f"c_author = '{q.compact}'", "0.55", "author"), (f"c_category = '{q.compact}'", "0.35", "category")]
+    if len(q.terms) > 1:
+        cascade.append((f"regexp_matches(c_title, '(?s){'.*'.join(''.join(f'[{x}]' for x in t.compact) for t in q.terms)}')", "0.58", "title"))
+    if len(q.compact) >= 4:
+        grams = [q.compact[i : i + 2] for i in range(len(q.compact) - 1)]
+        share = f"(CASE WHEN contains(c_title, '{q.compact}') THEN 1.0 ELSE (" + " + ".join(f"contains(c_title, '{g}')::INT" for g in grams) + f") / {len(grams)}.0 END)::DOUBLE"
+        cascade.append((f"{share} >= 0.65", f"least(0.45, {share} * 0.5)", "title"))
+    phrase = "CASE " + " ".join(f"WHEN {c} THEN {v}" for c, v, _ in cascade) + " ELSE 0.0 END"
+    field = "CASE " + " ".join(f"WHEN {c} THEN '{f}'" for c, _, f in cascade) + " ELSE '' END"
+    at = [(f"strpos(c_title, '{t.compact}')", len(t.compact)) for t in q.terms]
+    found, length = (" + ".join(f"CASE WHEN {p} > 0 THEN {v} ELSE 0 END" for p, v in ((p, 1 if one else n) for p, n in at)) for one in (True, False))
+    first = "least(" + ", ".join(f"CASE WHEN {p} > 0 THEN {p} END" for p, _ in at) + ")"
+    last = "greatest(" + ", ".join(f"CASE WHEN {p} > 0 THEN {p} + {n} END" for p, n in at) + ")"
+    close = "1.0" if len(q.terms) < 2 else f"CASE WHEN ({found}) < 2 THEN 0.0 ELSE {clamp(f'(({length})::DOUBLE / greatest(1, {last} - {first})) * (({found}) / {len(q.terms)}.0::DOUBLE)')} END"
+    primary, extra = [i for i in every if not q.terms[i].auxiliary], [i for i in every if q.terms[i].auxiliary]
+    anchor = lambda i: any_(f"e{i}_{f}" for f in ANCHORS)
+    single = len(primary) == 1
+    strong = any_(f"s{primary[0]}_{f} >= {STRONG_FUZZY}" for f in ANCHORS) if single and len(q.terms[primary[0]].compact) >= 5 else "false"
+    pairs = f"({' + '.join(f'{anchor(i)}::INT' for i in extra)}) >= 2" if single and extra else "false"
+    models = [i for i in every if any(c.isdigit() for c in q.terms[i].text) or q.terms[i].text in VERSION_WORDS]
+    model = " AND ".join([*(any_(f"e{i}_{f}" for f in CORE) for i in models), "true"])
+    phrases = " AND ".join([*(any_(hit(Term(p, packed_query(p)), f) for f in (*CORE, "author")) for p in q.phrases), "true"])
+    negative = "CASE " + " ".join(f"WHEN {hit(t, 'all')} THEN '{t.text}'" for t in q.negatives) + " END" if q.negatives else "NULL::VARCHAR"
+    rules = q.admission
+    least = f"CASE WHEN NOT exact_anchor AND strong THEN {RELAXED_COVERAGE} ELSE {rules.min_coverage} END" if q.effective_terms == 1 else f"{rules.min_coverage}"
+    return f"""
+r1 AS (SELECT *, {forms} FROM {source}), r2 AS (SELECT *, {packed} FROM r1), r3 AS MATERIALIZED (SELECT *, {hits} FROM r2), r4 AS MATERIALIZED (SELECT *, {near} FROM r3),
+r5 AS (SELECT *, {mean(lambda i: most(i, names))} AS coverage, {mean(lambda i: "greatest(" + ", ".join(f"{conf(i, f.name)} * {f.strength}" for f in FIELDS) + ")")} AS field_score, {mean(lambda i: conf(i, "title"))} AS title_coverage,
+  ({phrase})::DOUBLE AS phrase, {field} = 'author' AS by_author, ({close})::DOUBLE AS proximity, {any_(anchor(i) for i in primary)} AS exact_anchor, {strong} AS strong, {pairs} AS pairs, {model} AS model, {phrases} AS phrased, {negative} AS negative FROM r4),
+r6 AS (SELECT *, {clamp("0.5 * field_score + 0.25 * coverage + 0.13 * title_coverage + 0.08 * phrase + 0.04 * proximity + CASE WHEN by_author THEN 0.06 ELSE 0.0 END")}::DOUBLE AS relevance, ({least})::DOUBLE AS least_coverage FROM r5),
+r7 AS (SELECT *, concat_ws('|', CASE WHEN negative IS NOT NULL THEN '命中排除词“' || negative || '”' END, CASE WHEN relevance < {rules.threshold} THEN '相关性低于 {round(rules.threshold * 100)} 分' END,
+  CASE WHEN coverage < least_coverage THEN '关键词覆盖低于 ' || floor(least_coverage * 100 + 0.5)::INT || '%' END, CASE WHEN NOT (exact_anchor OR by_author OR strong OR pairs) THEN '至少一个核心词须精确命中标题或标签' END,
+  CASE WHEN NOT phrased THEN '引号中的短语未精确命中允许字段' END, CASE WHEN NOT (by_author OR model) THEN '数字、年份或型号词未在核心字段精确命中' END) AS reasons FROM r6),
+judged AS (SELECT *, reasons = '' AS passes FROM r7)"""
+
+
 def ranked() -> str:
     views = ", ".join(f"({i}, '{v.name}', {v.relevance}, {v.signal}, {v.quality})" for i, v in enumerate(VIEWS))
     return f"""

@@ -89,6 +89,28 @@ def pool_counters(cards: DataFrame) -> DataFrame:
     return n.select("raw_count", "valid_count", "unique_count", (F.col("raw_count") - F.col("valid_count")).alias("ignored_count"), (F.col("valid_count") - F.col("unique_count")).alias("duplicate_count"))
 
 
+def scan_pages(cards: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:
+    """(route, page, raw_count, ignored_count, num_results, num_pages, has_next): what a paged scan tells about each of
+    its pages; the page size is clamped to 1..50. Cards without a route or page are of "unknown" and page 1."""
+    size = max(1, min(page_size, PAGE_SIZE))
+    valid = (F.col("type") == "video") & (F.coalesce(F.col("bvid"), F.lit("")) != "")
+    per = cards.groupBy(F.coalesce("route", F.lit("unknown")).alias("route"), F.coalesce("page", F.lit(1)).alias("page")).agg(F.count(F.lit(1)).alias("raw_count"), F.count(F.when(~F.coalesce(valid, F.lit(False)), 1)).alias("ignored_count"))
+    total = per.groupBy("route").agg(F.sum("raw_count").alias("num_results"))
+    pages = F.ceil(F.col("num_results") / size)
+    return per.join(total, "route").select("route", "page", "raw_count", "ignored_count", "num_results", pages.alias("num_pages"), (F.col("page") < pages).alias("has_next"))
+
+
+def lookup_counts(keys: DataFrame, details: DataFrame) -> DataFrame:
+    """One row: requested (distinct proper keys), enriched (with a detail), errors (without) and skipped (distinct
+    improper ones) of a batched lookup. keys: (key); details: (key, ...), unique."""
+    good = F.col("key").rlike(PROPER_KEY)
+    asked = keys.where(F.col("key").isNotNull()).select("key", good.alias("good")).distinct()
+    found = asked.join(details.select("key", F.lit(True).alias("_found")), "key", "left")
+    there = F.col("good") & F.col("_found").isNotNull()
+    n = found.agg(F.count(F.when(F.col("good"), 1)).alias("requested"), F.count(F.when(there, 1)).alias("enriched"), F.count(F.when(~F.col("good"), 1)).alias("skipped"))
+    return n.select("requested", "enriched", (F.col("requested") - F.col("enriched")).alias("errors"), "skipped")
+
+
 def recall_routes(items: DataFrame, routes: dict[str, Column], pages: int = PAGES, page_size: int = PAGE_SIZE) -> DataFrame:
     """(key, order, orderLabel, page, position): the first pages of every route, by its column descending then key.
 

@@ -31,6 +31,7 @@ QUERY = "网球 教程"
 EXACT = {"cjk": "网球", "digits": "12", "letters": "kitchen", "mixed": "x10", "short": "4k"}
 FUZZY_NEEDLE = "keybord"
 SYNTAX = {"mixed": 'kitchn "4k" -server 网球训练比赛', "misspelt": "keybord", "run": "网球训练比赛", "model": 'the camera x10 pro 2017 -"机器人"'}
+INTENTS = {"最新 网球": 30, "2026 网球": 90, "2017 澳网": 730, "网球": 180}
 BATCH = {"a": QUERY, "b": "kitchen 4k", "c": '"机器人" -雪山'}
 
 
@@ -180,6 +181,29 @@ def chosen_parts(spark, d):
     return I.normalize_details(_t(spark, d, "video_details")).select("key", part.alias("p")).select("key", "p.cid", "p.page", "p.selection", F.col("p.multiPart").alias("multi_part"))
 
 
+def page_scans(spark, d):
+    return I.scan_pages(_t(spark, d, "search_cards"))
+
+
+def detail_lookups(spark, d):
+    return I.lookup_counts(_t(spark, d, "search_cards").select(F.trim("bvid").alias("key")), I.normalize_details(_t(spark, d, "video_details")))
+
+
+def tolerant_recall(spark, d):
+    """Cards of the routes that can be read; a route whose table has no such column ends by itself."""
+    cards = _t(spark, d, "search_cards")
+    routes = {r: lambda r=r: cards.where(F.col("route") == r).select("card_id", "route") for r in ROUTES[:3]}
+    found, errors = I.tolerant_union(routes | {"gone": lambda: cards.select("no_such_column")})
+    return found.withColumn("failed", F.lit(",".join(name for name, _ in errors)))
+
+
+def replaced_items(spark, d):
+    """Merged items, those of an even number of records replaced by their enriched rows."""
+    items = I.merge_items(I.normalize_cards(_t(spark, d, "search_cards")))
+    some = I.enrich(items.where(F.col("records") % 2 == 0), I.normalize_details(_t(spark, d, "video_details")))
+    return I.replace_enriched(items, some).select("key", "title", "stats.views", "stats.coins", F.col("enrichment.detail").alias("detail"))
+
+
 # ---- scoring ----------------------------------------------------------------------------------------------------
 
 
@@ -214,6 +238,22 @@ def timeliness_scores(spark, d):
     return t.select("key", *(F.round(f"timeliness.{c}", 6).alias(c) for c in ("value", "online_count", "completeness")))
 
 
+def growth_components(spark, d):
+    g = D.growth(_items(spark, d), NOW_MS, _t(spark, d, "snapshots"))
+    parts = [F.round(f"growth.components.{m}.{c}", 6).alias(f"{m}_{c}") for m in ("views", "likes", "coins") for c in ("per_day", "actual_per_day", "lifecycle", "observed", "value")]
+    return g.select("key", *parts, F.array_join("growth.negative_reasons", "|").alias("negative"))
+
+
+def timeliness_intents(spark, d):
+    """Every half-life a query can ask for."""
+    items, online, out = _items(spark, d), _online(spark, d), None
+    for text in INTENTS:
+        t = D.timeliness(items, text, NOW_MS, online)
+        told = t.select(F.lit(text).alias("query"), "key", *(F.round(f"timeliness.{c}", 6).alias(c.split(".")[-1]) for c in ("value", "components.recency", "components.online")), F.col("timeliness.half_life_days").alias("days"))
+        out = told if out is None else out.unionByName(told)
+    return out
+
+
 # ---- ranking ----------------------------------------------------------------------------------------------------
 
 
@@ -329,13 +369,14 @@ QUERIES = {
         card_texts, card_items, detail_items, online_counts, video_keys, snapshot_times, duration_labels, payload_kinds, signed_requests, tab_labels, exact_terms, fuzzy_similarity, ngram_affinity, merged_items, pool_stats,
         recalled_routes, enriched_items, first_details, fallback_details, chosen_parts, relevance, relevance_syntax, quality_scores, growth_scores, timeliness_scores, rank_all_views, ranking_stats, rejected_items, shortlist,
         online_shortlist, page_two, shortlisted_search, search_batch, result_page, display_texts, sampled_history, kept_history, snapshots_of_items, streamed_history, recorded_history,
+        page_scans, detail_lookups, tolerant_recall, replaced_items, growth_components, timeliness_intents,
     )
 }
 
 _N = S.norm("title")
 _MIX = f"array_to_string([substr(md5(bvid) || md5(route), x + 1, 1) for x in {list(MIXIN_ORDER[:32])}], '')"
 _SCORED = f"WITH {S.ENRICHED}, {S.quality()}, {S.growth(NOW_MS)}, {S.timeliness(NOW_MS, 180)}"
-_RANKED = f"{_SCORED}, {S.relevance_two(*QUERY.split())}, {S.ranked()}"
+_RANKED = f"{_SCORED}, {S.relevance_of(parse(QUERY))}, {S.ranked()}"
 _WALK = f"""
 WITH RECURSIVE one AS (
   SELECT snapshot_id, any_value(bvid) AS bvid, min(epoch_us(received_at) // 1000) AS received, any_value(CASE WHEN "capturedAt" > 0 THEN CASE WHEN "capturedAt" < 10000000000 THEN "capturedAt" * 1000 ELSE "capturedAt" END END) AS "at"
@@ -405,9 +446,28 @@ SELECT card_id, trim(regexp_replace(trim(made), '\\s*[0-9]+\\+?\\s*$', '')) AS l
 WITH d AS (SELECT trim(bvid) AS key, list_filter(list_transform(coalesce(pages, []), lambda p, i: {'cid': p.cid, 'page': coalesce(p.page, i)::INT}), lambda p: p.cid IS NOT NULL) AS good FROM video_details),
 e AS (SELECT key, good, list_filter(good, lambda p: p.page = 2)[1] AS asked FROM d)
 SELECT key, coalesce(asked, good[1]).cid AS cid, coalesce(asked, good[1]).page AS page, CASE WHEN len(good) > 0 THEN CASE WHEN asked IS NOT NULL THEN 'requested-page' ELSE 'first-page-fallback' END END AS selection, len(good) > 1 AS multi_part FROM e""",
-    "relevance": f"{_RANKED} SELECT key, round(relevance, 6) AS value, round(coverage, 6) AS coverage, round(title_coverage, 6) AS title_coverage, round(phrase, 6) AS phrase, passes, n_reasons::BIGINT AS n_reasons FROM judged",
+    "relevance": f"{_RANKED} SELECT key, round(relevance, 6) AS value, round(coverage, 6) AS coverage, round(title_coverage, 6) AS title_coverage, round(phrase, 6) AS phrase, passes, (CASE WHEN reasons = '' THEN 0 ELSE len(string_split(reasons, '|')) END)::BIGINT AS n_reasons FROM judged",
     "relevance_syntax": " UNION ALL ".join(f"SELECT * FROM (WITH {S.ENRICHED}, {S.relevance_of(parse(q), 'items')} SELECT '{name}' AS query_id, key, round(relevance, 6) AS value, round(coverage, 6) AS coverage, passes, reasons FROM judged)" for name, q in SYNTAX.items()),
     "search_batch": " UNION ALL ".join(f"SELECT * FROM ({_SCORED}, {S.relevance_of(parse(q))}, {S.ranked()} SELECT '{name}' AS query_id, view, position, key FROM ranked)" for name, q in BATCH.items()),
+    "page_scans": """
+WITH p AS (SELECT coalesce(route, 'unknown') AS route, coalesce(page, 1) AS page, count(*) AS raw_count, count(*) FILTER (NOT coalesce(type = 'video' AND coalesce(bvid, '') <> '', false)) AS ignored_count FROM search_cards GROUP BY 1, 2),
+n AS (SELECT *, (sum(raw_count) OVER (PARTITION BY route))::BIGINT AS num_results FROM p)
+SELECT *, ceil(num_results / 50.0)::BIGINT AS num_pages, page < ceil(num_results / 50.0) AS has_next FROM n""",
+    "detail_lookups": """
+WITH k AS (SELECT DISTINCT trim(bvid) AS key FROM search_cards WHERE bvid IS NOT NULL), g AS (SELECT key, regexp_matches(key, '^BV[0-9A-Za-z]{8,24}$') AS good, key IN (SELECT trim(bvid) FROM video_details WHERE bvid IS NOT NULL) AS there FROM k)
+SELECT count(*) FILTER (good) AS requested, count(*) FILTER (good AND there) AS enriched, count(*) FILTER (good AND NOT there) AS errors, count(*) FILTER (NOT good) AS skipped FROM g""",
+    "tolerant_recall": f"SELECT card_id, route, 'gone' AS failed FROM search_cards WHERE route IN ({', '.join(repr(r) for r in ROUTES[:3])})",
+    "replaced_items": f"""
+SELECT key, title, views, coins, detail FROM (WITH {S.ENRICHED} SELECT key, title, views, coins, detail FROM items WHERE key IN (SELECT key FROM merged WHERE records % 2 = 0))
+UNION ALL SELECT key, title, views, NULL::DOUBLE, NULL FROM (WITH {S.MERGED} SELECT key, title, views FROM merged WHERE records % 2 = 1)""",
+    "growth_components": f"{_SCORED}, p AS (SELECT *, "
+    + ", ".join(f"{m} / age AS p_{m}, CASE WHEN s_stats.{m} IS NOT NULL AND days > 0 AND {m} >= greatest(0.0, s_stats.{m}) THEN ({m} - greatest(0.0, s_stats.{m})) / days END AS a_{m}" for m in ("views", "likes", "coins"))
+    + " FROM scored_g) SELECT key, "
+    + ", ".join(f"round(p_{m}, 6) AS {m}_per_day, round(a_{m}, 6) AS {m}_actual_per_day, round(l_{m}, 6) AS {m}_lifecycle, round(o_{m}, 6) AS {m}_observed, round(CASE WHEN o_{m} IS NULL THEN l_{m} WHEN l_{m} IS NULL THEN o_{m} ELSE 0.7 * o_{m} + 0.3 * l_{m} END, 6) AS {m}_value" for m in ("views", "likes", "coins"))
+    + ", concat_ws('|', CASE g_status WHEN 'estimated' THEN '尚无可用历史快照，当前为发布以来平均增速的低置信度估算' WHEN 'unavailable' THEN '缺少发布时间或统计数据，暂无法估算增长' END, CASE WHEN s_at IS NOT NULL AND g_seen < g_life THEN '部分指标发生回退或缺失，未将其误判为负增长' END) AS negative FROM p",
+    "timeliness_intents": " UNION ALL ".join(
+        f"SELECT * FROM (WITH {S.ENRICHED}, {S.quality()}, {S.growth(NOW_MS)}, {S.timeliness(NOW_MS, days)} SELECT '{text}' AS query, key, round(timeliness, 6) AS value, round(recency, 6) AS recency, round(heat, 6) AS online, {days} AS days FROM scored)" for text, days in INTENTS.items()
+    ),
     "quality_scores": f"WITH {S.ENRICHED}, {S.quality()} SELECT key, round(quality, 6) AS value, round(0.65 * q_abs + 0.35 * q_rate, 6) AS raw, round(q_full, 6) AS completeness, round(q_abs, 6) AS absolute, round(q_rate, 6) AS rate FROM scored_q",
     "growth_scores": f"{_SCORED} SELECT key, round(growth, 6) AS value, round((CASE WHEN g_seen > 0 THEN g_seen ELSE g_life END)::DOUBLE, 6) AS completeness, round((CASE WHEN g_status = 'unavailable' THEN 0.0 ELSE g_trust END)::DOUBLE, 6) AS confidence, round(g_hours, 6) AS observation_hours, g_status AS status FROM scored_g",
     "timeliness_scores": f"{_SCORED} SELECT key, round(timeliness, 6) AS value, round(online, 6) AS online_count, CASE WHEN recency IS NULL THEN 0::DOUBLE ELSE 0.65 END + CASE WHEN heat IS NULL THEN 0::DOUBLE ELSE 0.35 END AS completeness FROM scored",

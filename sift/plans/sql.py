@@ -166,29 +166,6 @@ t1 AS (SELECT g.*, online, CASE WHEN age IS NOT NULL THEN least(1.0, pow(2.0::DO
 scored AS (SELECT *, {clamp("0.65 * coalesce(recency, 0.5) + 0.35 * coalesce(heat, 0.5)")} AS timeliness FROM t1)"""
 
 
-def relevance_two(a: str, b: str) -> str:
-    """Relevance of the query "a b" of two CJK terms of two characters (always weight 1, never fuzzy)."""
-    texts = {"title": "title", "tags": "array_to_string(tags, ' ')", "description": "description", "author": "author", "category": "category"}
-    forms = ", ".join(f"{compact(norm(x))} AS c_{k}" for k, x in texts.items())
-    hit = lambda t, f: f"contains(c_{f}, '{t}')"
-    conf = lambda t: "(CASE WHEN " + " OR ".join(hit(t, f.name) for f in FIELDS) + " THEN 1.0 ELSE 0.0 END)"
-    score = lambda t: "CASE " + " ".join(f"WHEN {hit(t, f.name)} THEN {f.strength}" for f in FIELDS) + " ELSE 0.0 END"
-    inside = lambda t: f"CASE WHEN {hit(t, 'title')} THEN 1.0 ELSE 0.0 END"
-    whole = a + b
-    grams = [whole[i : i + 2] for i in range(3)]
-    near = "((" + " + ".join(f"CASE WHEN contains(c_title, '{g}') THEN 1 ELSE 0 END" for g in grams) + ") / 3.0::DOUBLE)"
-    order = f"regexp_matches(c_title, '{a}.*{b}')"
-    phrase = f"CASE WHEN {hit(whole, 'title')} THEN 1.0 WHEN {hit(whole, 'tags')} THEN 0.75 WHEN {hit(whole, 'description')} THEN 0.65 WHEN c_author = '{whole}' THEN 0.55 WHEN c_category = '{whole}' THEN 0.35 WHEN {order} THEN 0.58 WHEN {near} >= 0.65 THEN least(0.45, {near} * 0.5) ELSE 0.0 END"
-    pa, pb = f"strpos(c_title, '{a}')", f"strpos(c_title, '{b}')"
-    proximity = f"CASE WHEN {pa} > 0 AND {pb} > 0 THEN {clamp(f'4.0 / greatest(1, greatest({pa}, {pb}) + 2 - least({pa}, {pb}))')} ELSE 0.0 END"
-    core = " OR ".join(hit(t, f) for t in (a, b) for f in ("title", "tags"))
-    return f"""
-r1 AS (SELECT *, {forms} FROM scored),
-r2 AS (SELECT *, ({conf(a)} + {conf(b)}) / 2.0 AS coverage, (({score(a)}) + ({score(b)})) / 2.0 AS field_score, (({inside(a)}) + ({inside(b)})) / 2.0 AS title_coverage, ({phrase})::DOUBLE AS phrase, c_author = '{whole}' AND NOT ({hit(whole, "title")} OR {hit(whole, "tags")} OR {hit(whole, "description")}) AS by_author, {proximity} AS proximity, ({core}) AS core FROM r1),
-r3 AS (SELECT *, {clamp("0.5 * field_score + 0.25 * coverage + 0.13 * title_coverage + 0.08 * phrase + 0.04 * proximity + CASE WHEN by_author THEN 0.06 ELSE 0.0 END")}::DOUBLE AS relevance FROM r2),
-judged AS (SELECT *, relevance >= 0.35 AND coverage >= 0.5 AND (core OR by_author) AS passes, (CASE WHEN relevance < 0.35 THEN 1 ELSE 0 END + CASE WHEN coverage < 0.5 THEN 1 ELSE 0 END + CASE WHEN core OR by_author THEN 0 ELSE 1 END) AS n_reasons FROM r3)"""
-
-
 def exact(t: Term, n: str, c: str) -> str:
     """Whether a term occurs as such in a normalised text and its compact form."""
     k = t.compact

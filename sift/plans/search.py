@@ -12,7 +12,7 @@ from sift.operators.ranking import balanced_shortlist, rank_views, ranking_stats
 from sift.operators.relevance import evaluate, matchable
 from sift.operators.signals import all_signals
 from sift.query import ParsedQuery, parse
-from sift.session import cut
+from sift.session import cut, ship_package
 
 
 @dataclass
@@ -40,6 +40,7 @@ def search(items: DataFrame, query: str, now_ms: int, snapshots: DataFrame | Non
 def search_cards(cards: DataFrame, query: str, now_ms: int, details: DataFrame | None = None, snapshots: DataFrame | None = None, samples: DataFrame | None = None, detail_limit: int | None = None) -> SearchResult:
     """The whole pipeline from raw cards. With detail_limit only the balanced shortlist of a first ranking gets
     details, as an interactive search with costly lookups would; else all items do (one equi-join)."""
+    ship_package(cards.sparkSession)
     items = merge_items(normalize_cards(cards))
     if details is not None:
         known = normalize_details(details)

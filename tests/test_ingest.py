@@ -6,7 +6,7 @@ from sift.operators import ingest as I
 from sift.sources import requests as R
 
 CARD = "card_id long, type string, bvid string, aid long, title string, description string, author string, mid long, typename string, pic string, duration string, play long, `like` long, favorites long, review long, danmaku long, pubdate long, tag string, route string, page int, position int, extra string"
-BASE = dict(card_id=1, type="video", bvid="BV1TEST12345", aid=123, title='<em class="keyword">费德勒</em> &amp; 纳达尔', description="2017 澳网决赛", author="网球档案", mid=88, typename="竞技体育", pic="//img.example/test.jpg", duration="13:7", play=12000, like=800, favorites=400, review=60, danmaku=90, pubdate=1_700_000_000, tag="费德勒,纳达尔,澳网", route="click", page=2, position=4, extra="x")
+BASE = dict(card_id=1, type="video", bvid="BV1LEAF23456", aid=321, title='<em class="keyword">银杏</em> &amp; 山茶', description="秋日植物园", author="园丁", mid=77, typename="自然", pic="//img.example/test.jpg", duration="13:7", play=13500, like=700, favorites=350, review=55, danmaku=80, pubdate=1_710_000_000, tag="银杏,山茶,秋日", route="click", page=2, position=4, extra="x")
 
 
 def cards(spark, *changes):
@@ -19,17 +19,17 @@ def _one(spark, expression, value, kind="string"):
 
 def test_cards(spark):
     rows = I.normalize_cards(cards(spark, {}, {"type": "ketang", "bvid": ""}, {"card_id": 3, "like": 0, "favorites": 0, "bvid": None}, {"card_id": 4, "bvid": "BV2", "like": 0, "favorites": 0, "title": None, "tag": None, "duration": None})).collect()
-    assert sorted(r.key for r in rows) == ["BV1TEST12345", "BV2"]
+    assert sorted(r.key for r in rows) == ["BV1LEAF23456", "BV2"]
     a, b = sorted(rows, key=lambda r: r.key)
-    assert (a.title, a.coverUrl, a.durationSeconds, a.tags, a.source.orderLabel, a.publishedAt) == ("费德勒 & 纳达尔", "https://img.example/test.jpg", 787.0, ["费德勒", "纳达尔", "澳网"], "播放", 1_700_000_000_000)
-    assert (b.stats.likes, b.stats.favorites, b.stats.views, b.title, b.tags, b.durationText) == (None, None, 12000.0, "", [], "")
+    assert (a.title, a.coverUrl, a.durationSeconds, a.tags, a.source.orderLabel, a.publishedAt) == ("银杏 & 山茶", "https://img.example/test.jpg", 787.0, ["银杏", "山茶", "秋日"], "播放", 1_710_000_000_000)
+    assert (b.stats.likes, b.stats.favorites, b.stats.views, b.title, b.tags, b.durationText) == (None, None, 13500.0, "", [], "")
 
 
 def test_merge(spark):
-    rows = I.normalize_cards(cards(spark, {"route": "totalrank", "play": 100, "description": "short"}, {"card_id": 2, "route": "pubdate", "play": 200, "description": "a longer text", "tag": "澳网,新"}, {"card_id": 2, "route": "pubdate", "play": 200, "description": "a longer text", "tag": "澳网,新"}))
+    rows = I.normalize_cards(cards(spark, {"route": "totalrank", "play": 100, "description": "short"}, {"card_id": 2, "route": "pubdate", "play": 200, "description": "a longer text", "tag": "秋日,新"}, {"card_id": 2, "route": "pubdate", "play": 200, "description": "a longer text", "tag": "秋日,新"}))
     m = I.merge_items(rows).collect()
     assert len(m) == 1 and m[0].stats.views == 200 and m[0].description == "a longer text"
-    assert [s.order for s in m[0].sources] == ["totalrank", "pubdate"] and m[0].tags == ["费德勒", "纳达尔", "澳网", "新"]
+    assert [s.order for s in m[0].sources] == ["totalrank", "pubdate"] and m[0].tags == ["银杏", "山茶", "秋日", "新"]
     assert I.merge_items(rows.where("false")).count() == 0
     p = I.pool_counters(cards(spark, {}, {"card_id": 2}, {"type": "ketang"})).first()
     assert tuple(p) == (3, 2, 1, 1, 1)
@@ -65,10 +65,10 @@ def test_requests(spark):
 
 def test_enrichment(spark):
     items = I.merge_items(I.normalize_cards(cards(spark, {}, {"card_id": 2, "bvid": "BV2OTHER1234", "like": 88})))
-    detail = spark.createDataFrame([("BV1TEST12345", 1, "t", "d", "", 100, 1, None, ("o", 2, ""), (50000, 0, None, 300, 400, 1800, 260), [(101, 1, "上集", 300), (None, 2, "x", 1)])],
+    detail = spark.createDataFrame([("BV1LEAF23456", 1, "t", "d", "", 100, 1, None, ("o", 2, ""), (50000, 0, None, 300, 400, 1800, 260), [(101, 1, "上集", 300), (None, 2, "x", 1)])],
         "bvid string, aid long, title string, desc string, pic string, duration long, pubdate long, videos int, owner struct<name:string,mid:long,face:string>, stat struct<view:long,`like`:long,favorite:long,reply:long,danmaku:long,coin:long,share:long>, pages array<struct<cid:long,page:int,part:string,duration:long>>")
     got = {r.key: r for r in I.enrich(items, I.normalize_details(detail)).collect()}
-    a, b = got["BV1TEST12345"], got["BV2OTHER1234"]
+    a, b = got["BV1LEAF23456"], got["BV2OTHER1234"]
     assert (a.stats.likes, a.stats.favorites, a.enrichment.detail, a.enrichment.pageCount, len(a.pages)) == (0.0, 400.0, "complete", 1.0, 1)
     assert (b.stats.likes, b.enrichment.detail) == (88.0, "unavailable")
     again = I.with_fallback(I.normalize_details(detail.where("false")), I.normalize_details(detail, "stat-fallback")).first()
@@ -85,3 +85,29 @@ def test_tolerant_union(spark):
     assert out.count() == 2 and errors == [("b", "down")]
     with pytest.raises(RuntimeError):
         I.tolerant_union({"b": bad})
+
+
+def test_optional_card_columns(spark):
+    more = cards(spark, {}, {"card_id": 2, "page": 3}).withColumns({"coin": F.when(F.col("card_id") == 1, 7).otherwise(0), "share": F.lit("5"), "upic": F.when(F.col("card_id") == 2, F.lit("//img.example/a.jpg"))})
+    got = I.merge_items(I.normalize_cards(more)).first()
+    assert (got.stats.coins, got.stats.shares, got.author.avatar) == (7.0, 5.0, "https://img.example/a.jpg")
+    plain = I.merge_items(I.normalize_cards(cards(spark, {}))).first()
+    assert (plain.stats.coins, plain.stats.shares, plain.author.avatar) == (None, None, "")
+
+
+def test_scans_and_lookups(spark):
+    rows = cards(spark, {}, {"card_id": 2, "bvid": None}, {"card_id": 3, "page": None, "route": None, "type": None}, *({"card_id": 10 + i, "page": 1} for i in range(3)))
+    got = {(r.route, r.page): tuple(r)[2:] for r in I.scan_pages(rows, 2).collect()}
+    assert got == {("click", 2): (2, 1, 5, 3, True), ("click", 1): (3, 0, 5, 3, True), ("unknown", 1): (1, 1, 1, 1, False)}
+    assert I.scan_pages(rows.where("false")).count() == 0
+    keys = spark.createDataFrame([("BV1LEAF23456",), ("BV1LEAF23456",), ("BVabcdefgh9",), ("no",), (None,)], "key string")
+    assert tuple(I.lookup_counts(keys, spark.createDataFrame([("BV1LEAF23456", 1)], "key string, x int")).first()) == (2, 1, 1, 1)
+    assert tuple(I.lookup_counts(keys.where("false"), spark.createDataFrame([], "key string")).first()) == (0, 0, 0, 0)
+
+
+def test_failing_routes_end_alone(spark):
+    good = spark.createDataFrame([("a",)], "key string")
+    found, errors = I.tolerant_union({"one": lambda: good, "two": lambda: good.select("nothing")})
+    assert found.count() == 1 and [n for n, _ in errors] == ["two"]
+    with pytest.raises(RuntimeError):
+        I.tolerant_union({"two": lambda: good.select("nothing")})

@@ -166,3 +166,44 @@ def test_stream_equals_batch(spark, tmp_path):
     run()
     got = {(r.source, r.at) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {(r.source, r.at) for r in history.sample_history(rows, last=False).collect()}
+
+
+def test_positions_equal_a_sort(spark, monkeypatch):
+    import random
+
+    rng = random.Random(5)
+    rows = [(f"k{i:03}", {"value": rng.choice([0.31, 0.42, 0.4201, 0.99, 1.0])}, *({"value": rng.choice([0.0, 0.5, 0.5, 0.7])} for _ in range(3)), "x") for i in range(200)]
+    kind = "key string, relevance struct<value:double>, quality struct<value:double>, growth struct<value:double>, timeliness struct<value:double>, position string"
+    scored = spark.createDataFrame(rows, kind).drop("position")
+    got = ranking.rank_views(scored).collect()
+    assert len(got) == 600
+    for view in ("quality", "growth", "timeliness"):
+        mine = sorted((r for r in got if r.view == view), key=lambda r: r.position)
+        assert [r.position for r in mine] == list(range(1, 201))
+        order = [(-r["rank"].relevance_band, -r["rank"].inner_score, -r.relevance.value, -r["rank"].signal, -r.quality.value, r.key) for r in mine]
+        assert order == sorted(order)
+    page = ranking.page_of(ranking.rank_views(scored), "growth", 99)
+    assert sorted(r.position for r in page.collect()) == list(range(193, 201))
+    assert ranking.rank_views(scored.where("false")).count() == 0
+
+
+def test_history_store(spark, tmp_path):
+    minute, kind = 60_000, "key string, enrichment struct<detail:string>, stats struct<views:double,likes:double,favorites:double,replies:double,danmaku:double,coins:double,shares:double>, extra int"
+    none = [None] * 6
+    items = spark.createDataFrame([("a", ("complete",), (1.0, *none), 1), ("b", ("unavailable",), (1.0, *none), 1), (None, ("complete",), (1.0, *none), 1), ("c", ("partial",), (None, *none), 1), ("d", None, None, 1)], kind)
+    store = history.HistoryStore(spark, str(tmp_path / "store"), history.HistoryPolicy(keep_snapshots=2, max_age_ms=1000 * minute))
+    assert store.read().count() == 0
+    (tmp_path / "store" / "v9").mkdir(parents=True)  # left half-written by a lost writer
+    for t in (0, 20, 30, 61):
+        store.record(items, (1000 + t) * minute)
+    assert [(r.source, r.at // minute - 1000, r.stats.views) for r in store.read().orderBy("at").collect()] == [("a", 30, 1.0), ("a", 61, 1.0)]
+    store.record(items.where("false"), 5000 * minute)
+    assert store.read().count() == 0
+
+
+def test_half_lives():
+    from sift.query import parse
+
+    now = 1_788_782_400_000  # in 2026
+    days = {q: signals.half_life(parse(q), now)[0] for q in ("最新 网球", "latest 2026", "2026 网球", "2017 澳网", "2025 网球", "2030 网球", "网球", "2026 2017")}
+    assert list(days.values()) == [30, 30, 90, 730, 180, 180, 180, 90]

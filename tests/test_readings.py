@@ -52,6 +52,43 @@ def test_spikes_in_noise_and_rounding(spark):
     assert {g for g in got if g[1] == "views"} == {(30, "views", "outlier")}
 
 
+def test_sketches_merge_and_tell_quartiles():
+    from sift.operators.spikes import merged, quartiles, sketch
+
+    rng = np.random.default_rng(7)
+    group, values = rng.integers(0, 5, 4000), rng.standard_normal(4000) * 10.0 ** rng.integers(-3, 3, 4000)
+    whole = sketch(group, values)
+    parts = [sketch(group[k::3], values[k::3]) for k in range(3)]
+    keys, counts = merged(np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts]))
+    assert np.array_equal(keys, whole[0]) and np.array_equal(counts, whole[1])
+    got = quartiles(keys, counts, 6)
+    for g in range(5):
+        v = np.sort(values[group == g])
+        assert got[g, 2] == len(v) and got[g, :2] == pytest.approx([v[int(np.ceil(q * len(v))) - 1] for q in (0.25, 0.75)], rel=0.011)
+    assert np.isnan(got[5, 0]) and got[5, 2] == 0 and np.isnan(quartiles(keys[:0], counts[:0], 1)[0, 0])
+
+
+def test_dips_of_small_counts_ends_and_varying_sources(spark):
+    rng = np.random.default_rng(3)
+    flat = [1000.0 + i for i in range(30)]
+    dips = [52.0] * 30
+    dips[9], dips[20] = 0.0, 1.0
+    last, moved = list(flat), list(flat)
+    last[29] = 2400.0  # alone, and faster than ever before
+    noisy = [float(round(16_000 * (1 + 0.04 * e))) for e in rng.standard_normal(40)]
+    noisy[15:25] = [noisy[15]] * 10
+    rows = series("dips", flat, dips) + series("last", last, first_id=100) + series("noisy", noisy, first_id=200)
+    # the same jump where the other metrics move along is growth
+    along = series("along", moved, first_id=300, base=1000)
+    rows += along[:-1] + [(*along[-1][:3], *(v * 2.4 for v in along[-1][3:10]), "x")]
+    # others of a varying source vary as well
+    vary = rng.standard_normal((40, 5)) * 40 + 1000
+    rows = [(*r[:5], *map(float, np.round(vary[r[0] - 200])), "x") if r[1] == "noisy" else r for r in rows]
+    got = found(spark, rows)
+    assert {g for g in got if g[2] == "outlier" and not 200 <= g[0] < 300} == {(9, "likes", "outlier"), (20, "likes", "outlier"), (129, "views", "outlier")}
+    assert {r for r, m, k in got if (m, k) == ("views", "stuck")} == set(range(216, 225))
+
+
 def test_spikes_empty_short_and_sharded(spark):
     assert found(spark, []) == set()
     assert found(spark, series("s", [1.0, 900.0, 2.0])) == set()

@@ -80,7 +80,9 @@ def lenient_online(value: Column) -> Column:
 def https_url(value: Column) -> Column:
     """An https address; // and http:// are read as https://; '' for anything else."""
     raw = F.trim(F.coalesce(value, F.lit("")))
-    url = F.when(raw.startswith("//"), F.concat(F.lit("https:"), raw)).when(raw.startswith("http://"), F.concat(F.lit("https://"), F.substring(raw, F.lit(8), F.length(raw)))).otherwise(raw)
+    url = F.when(raw.startswith("//"), F.concat(F.lit("https:"), raw)).when(
+        raw.startswith("http://"), F.concat(F.lit("https://"), F.substring(raw, F.lit(8), F.length(raw))),
+    ).otherwise(raw)
     return F.when(url.rlike(r"^https://[^/?#\s]+\S*$"), url).otherwise("")
 
 

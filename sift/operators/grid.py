@@ -140,7 +140,10 @@ def _halo(sharded: DataFrame, metrics: list[str]) -> DataFrame:
     return told.groupBy("source").applyInPandas(chain, f"source {kind}, shard int, at long, " + ", ".join(f"{m} double" for m in metrics))
 
 
-def regular_grid(readings: DataFrame, metrics: list[str] = METRICS, step_ms: int = HOUR_MS, long_gap_ms: int = LONG_GAP_MS, shard_rows: int = SHARD_ROWS, task_rows: int = TASK_ROWS) -> DataFrame:
+def regular_grid(
+    readings: DataFrame, metrics: list[str] = METRICS, step_ms: int = HOUR_MS, long_gap_ms: int = LONG_GAP_MS, shard_rows: int = SHARD_ROWS,
+    task_rows: int = TASK_ROWS,
+) -> DataFrame:
     """(source, slot_ms, n_readings, status, <metrics>): one row per source and slot of step_ms, from the slot of the
     source's first usable reading to that of its last.
 

@@ -135,7 +135,10 @@ class HistoryStore:
         kept snapshot is an interval old; drop what is too old or too much."""
         versions = self._versions()
         names = [f.name for f in self.read().schema["stats"].dataType.fields]
-        new = recordable(items).where(F.col("key").isNotNull()).select(F.col("key").alias("source"), F.lit(now_ms).cast("long").alias("at"), F.struct(*(valid_stat(F.col(f"stats.{m}")).alias(m) for m in names)).alias("stats"))
+        new = recordable(items).where(F.col("key").isNotNull()).select(
+            F.col("key").alias("source"), F.lit(now_ms).cast("long").alias("at"),
+            F.struct(*(valid_stat(F.col(f"stats.{m}")).alias(m) for m in names)).alias("stats"),
+        )
         new = new.where(F.coalesce(*(F.col(f"stats.{m}") for m in names)).isNotNull())
         kept = retain(sample_history(self.read().unionByName(new), self.policy), now_ms, self.policy)
         version = (versions[-1] if versions else 0) + 1

@@ -48,10 +48,15 @@ def normalize_cards(cards: DataFrame, base_url: str = BASE_URL) -> DataFrame:
         "danmaku": safe_number(F.col("danmaku")), "coins": interaction(_if_there(rows, "coin")), "shares": interaction(_if_there(rows, "share")),
     }
     return rows.select(
-        key.alias("key"), F.struct(rank.alias("r"), F.col("page").alias("p"), F.col("position").alias("i"), F.col("card_id").alias("c")).alias("seq"), safe_number(F.col("aid")).cast("long").alias("aid"),
+        key.alias("key"), F.struct(
+            rank.alias("r"), F.col("page").alias("p"), F.col("position").alias("i"), F.col("card_id").alias("c"),
+        ).alias("seq"), safe_number(F.col("aid")).cast("long").alias("aid"),
         strip_html(F.col("title")).alias("title"), strip_html(F.col("description")).alias("description"), clean_tags(F.col("tag")).alias("tags"), strip_html(F.col("typename")).alias("category"),
         F.concat(F.lit(base_url), encoded).alias("url"), https_url(F.col("pic")).alias("coverUrl"), seconds.alias("durationSeconds"), duration_label(F.col("duration"), seconds).alias("durationText"),
-        (safe_number(F.col("pubdate")) * 1000).cast("long").alias("publishedAt"), F.struct(strip_html(F.col("author")).alias("name"), safe_number(F.col("mid")).cast("long").alias("mid"), https_url(_if_there(rows, "upic")).alias("avatar")).alias("author"),
+        (safe_number(F.col("pubdate")) * 1000).cast("long").alias("publishedAt"), F.struct(
+            strip_html(F.col("author")).alias("name"), safe_number(F.col("mid")).cast("long").alias("mid"),
+            https_url(_if_there(rows, "upic")).alias("avatar"),
+        ).alias("author"),
         F.struct(*(v.alias(k) for k, v in stats.items())).alias("stats"),
         F.struct(order.alias("order"), route_label(F.col("route")).alias("orderLabel"), F.coalesce("page", F.lit(1)).alias("page"), F.col("position")).alias("source"),
     )
@@ -78,7 +83,9 @@ def merge_items(items: DataFrame) -> DataFrame:
     out = base.join(tags, "key", "left").join(sources, "key", "left")
     return out.select(
         "key", "seq", "records", "aid", "title", "description", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), "category", "url", "coverUrl", "durationSeconds", "durationText", "publishedAt",
-        F.struct(F.col("_name").alias("name"), F.col("_mid").alias("mid"), F.col("_avatar").alias("avatar")).alias("author"), F.struct(*(F.col(f"_{m}").alias(m) for m in STATS)).alias("stats"), "sources",
+        F.struct(
+            F.col("_name").alias("name"), F.col("_mid").alias("mid"), F.col("_avatar").alias("avatar"),
+        ).alias("author"), F.struct(*(F.col(f"_{m}").alias(m) for m in STATS)).alias("stats"), "sources",
     )
 
 
@@ -86,7 +93,10 @@ def pool_counters(cards: DataFrame) -> DataFrame:
     """One row: raw, valid, unique, ignored and duplicate card counts."""
     valid = (F.col("type") == "video") & (F.coalesce(F.col("bvid"), F.lit("")) != "")
     n = cards.agg(F.count(F.lit(1)).alias("raw_count"), F.count(F.when(valid, 1)).alias("valid_count"), F.countDistinct(F.when(valid, F.trim("bvid"))).alias("unique_count"))
-    return n.select("raw_count", "valid_count", "unique_count", (F.col("raw_count") - F.col("valid_count")).alias("ignored_count"), (F.col("valid_count") - F.col("unique_count")).alias("duplicate_count"))
+    return n.select(
+        "raw_count", "valid_count", "unique_count", (F.col("raw_count") - F.col("valid_count")).alias("ignored_count"),
+        (F.col("valid_count") - F.col("unique_count")).alias("duplicate_count"),
+    )
 
 
 def scan_pages(cards: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:
@@ -94,7 +104,9 @@ def scan_pages(cards: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:
     its pages; the page size is clamped to 1..50. Cards without a route or page are of "unknown" and page 1."""
     size = max(1, min(page_size, PAGE_SIZE))
     valid = (F.col("type") == "video") & (F.coalesce(F.col("bvid"), F.lit("")) != "")
-    per = cards.groupBy(F.coalesce("route", F.lit("unknown")).alias("route"), F.coalesce("page", F.lit(1)).alias("page")).agg(F.count(F.lit(1)).alias("raw_count"), F.count(F.when(~F.coalesce(valid, F.lit(False)), 1)).alias("ignored_count"))
+    per = cards.groupBy(F.coalesce("route", F.lit("unknown")).alias("route"), F.coalesce("page", F.lit(1)).alias("page")).agg(
+        F.count(F.lit(1)).alias("raw_count"), F.count(F.when(~F.coalesce(valid, F.lit(False)), 1)).alias("ignored_count"),
+    )
     total = per.groupBy("route").agg(F.sum("raw_count").alias("num_results"))
     pages = F.ceil(F.col("num_results") / size)
     return per.join(total, "route").select("route", "page", "raw_count", "ignored_count", "num_results", pages.alias("num_pages"), (F.col("page") < pages).alias("has_next"))
@@ -120,7 +132,10 @@ def recall_routes(items: DataFrame, routes: dict[str, Column], pages: int = PAGE
     for i, (name, by) in enumerate(routes.items()):
         first = items.select("key", by.alias("_by")).orderBy(F.desc_nulls_last("_by"), "key").limit(top)
         n = F.row_number().over(W.orderBy(F.desc_nulls_last("_by"), "key"))
-        rows = first.withColumn("_n", n).select("key", F.lit(name).alias("order"), route_label(F.lit(name)).alias("orderLabel"), F.ceil(F.col("_n") / page_size).cast("int").alias("page"), ((F.col("_n") - 1) % page_size + 1).cast("int").alias("position"))
+        rows = first.withColumn("_n", n).select(
+            "key", F.lit(name).alias("order"), route_label(F.lit(name)).alias("orderLabel"), F.ceil(F.col("_n") / page_size).cast("int").alias("page"),
+            ((F.col("_n") - 1) % page_size + 1).cast("int").alias("position"),
+        )
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -143,7 +158,10 @@ def tolerant_union(routes: dict[str, object], required: int = 1) -> tuple[DataFr
 
 def clean_pages(pages: Column) -> Column:
     """Parts with a cid; the page number defaults to the place in the list."""
-    made = F.transform(pages, lambda p, i: F.struct(safe_number(p.cid).cast("long").alias("cid"), F.coalesce(safe_number(p.page).cast("int"), (i + 1).cast("int")).alias("page"), strip_html(p.part).alias("part"), safe_number(p.duration).alias("durationSeconds")))
+    made = F.transform(
+        pages, lambda p,
+        i: F.struct(safe_number(p.cid).cast("long").alias("cid"), F.coalesce(safe_number(p.page).cast("int"), (i + 1).cast("int")).alias("page"), strip_html(p.part).alias("part"), safe_number(p.duration).alias("durationSeconds")),
+    )
     return F.coalesce(F.filter(made, lambda p: p.cid.isNotNull()), F.array().cast("array<struct<cid:bigint,page:int,part:string,durationSeconds:double>>"))
 
 
@@ -155,9 +173,14 @@ def normalize_details(details: DataFrame, source: str = "detail") -> DataFrame:
     return rows.select(
         F.trim("bvid").alias("key"), safe_number(F.col("aid")).cast("long").alias("aid"), strip_html(F.col("title")).alias("title"), strip_html(F.col("desc")).alias("description"), https_url(F.col("pic")).alias("coverUrl"),
         seconds.alias("durationSeconds"), duration_label(F.lit(None).cast("string"), seconds).alias("durationText"), (safe_number(F.col("pubdate")) * 1000).cast("long").alias("publishedAt"),
-        F.struct(strip_html(F.col("owner.name")).alias("name"), safe_number(F.col("owner.mid")).cast("long").alias("mid"), https_url(F.col("owner.face")).alias("avatar")).alias("author"),
+        F.struct(
+            strip_html(F.col("owner.name")).alias("name"), safe_number(F.col("owner.mid")).cast("long").alias("mid"),
+            https_url(F.col("owner.face")).alias("avatar"),
+        ).alias("author"),
         F.struct(*(safe_number(F.col(f"stat.{v}")).alias(k) for k, v in names.items())).alias("stats"), pages.alias("pages"),
-        F.coalesce(safe_number(F.col("videos")), F.when(F.size(pages) > 0, F.size(pages).cast("double"))).alias("pageCount"), F.lit(source).alias("source"), F.lit(source != "detail").alias("partial"),
+        F.coalesce(
+            safe_number(F.col("videos")), F.when(F.size(pages) > 0, F.size(pages).cast("double")),
+        ).alias("pageCount"), F.lit(source).alias("source"), F.lit(source != "detail").alias("partial"),
     )
 
 
@@ -173,7 +196,10 @@ def enrich(items: DataFrame, details: DataFrame) -> DataFrame:
     rows = items.join(d, "key", "left")
     fill = lambda c, x: F.when(F.coalesce(F.col(c), F.lit("")) == "", F.coalesce(F.col(x), F.col(c), F.lit(""))).otherwise(F.col(c))
     new = {c: fill(c, f"_d.{c}") for c in ("title", "description", "coverUrl", "durationText")} | {c: F.coalesce(c, f"_d.{c}") for c in ("aid", "durationSeconds", "publishedAt")}
-    new["author"] = F.struct(fill("author.name", "_d.author.name").alias("name"), F.coalesce("author.mid", "_d.author.mid").alias("mid"), fill("author.avatar", "_d.author.avatar").alias("avatar"))
+    new["author"] = F.struct(
+        fill("author.name", "_d.author.name").alias("name"), F.coalesce("author.mid", "_d.author.mid").alias("mid"),
+        fill("author.avatar", "_d.author.avatar").alias("avatar"),
+    )
     new["stats"] = F.struct(*(F.coalesce(f"_d.stats.{m}", f"stats.{m}").alias(m) for m in STATS))
     new["pages"] = F.col("_d.pages")
     state = F.when(F.col("_d").isNull(), "unavailable").when(F.col("_d.partial"), "partial").otherwise("complete")
@@ -200,7 +226,10 @@ def select_part(pages: Column, wanted: int | None = None) -> Column:
     else:
         asked = F.try_element_at(F.filter(pages, lambda p: p.page == wanted), F.lit(1))
         part, how = F.coalesce(asked, first), F.when(asked.isNotNull(), "requested-page").otherwise("first-page-fallback")
-    return F.struct(part.cid.alias("cid"), part.page.alias("page"), part.part.alias("part"), F.when(part.cid.isNotNull(), how).alias("selection"), (F.size(pages) > 1).alias("multiPart"))
+    return F.struct(
+        part.cid.alias("cid"), part.page.alias("page"), part.part.alias("part"), F.when(part.cid.isNotNull(), how).alias("selection"),
+        (F.size(pages) > 1).alias("multiPart"),
+    )
 
 
 def normalize_online(samples: DataFrame) -> DataFrame:

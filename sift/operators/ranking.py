@@ -30,7 +30,10 @@ def rank_views(scored: DataFrame, views: tuple = VIEWS, collation: str | None =
     slim = slim.withColumns({"band": relevance_band(F.col("relevance")), "signal": signal})
     slim = slim.withColumn("pos", clamp((F.col("relevance") - F.col("band") * BAND) / BAND))
     slim = slim.withColumn("inner", F.col("v.r") * F.col("pos") + F.col("v.s") * F.col("signal") + F.col("v.q") * F.col("quality"))
-    slim = slim.select("key", F.col("v.i").alias("view_index"), F.col("v.name").alias("view"), "band", "pos", "inner", "relevance", "signal", "quality", F.floor(F.col("inner") * RANGES).alias("range"))
+    slim = slim.select(
+        "key", F.col("v.i").alias("view_index"), F.col("v.name").alias("view"), "band", "pos", "inner", "relevance", "signal", "quality",
+        F.floor(F.col("inner") * RANGES).alias("range"),
+    )
     group = ["view_index", "band", "range"]
     counts = slim.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))  # at most views x bands x ranges rows
     ahead = F.coalesce(F.sum("n").over(W.partitionBy("view_index").orderBy(F.desc("band"), F.desc("range")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -72,4 +75,7 @@ def page_numbers(page: int, pages: int) -> list[int | str]:
 def ranking_stats(evaluated: DataFrame, threshold: float, min_coverage: float) -> DataFrame:
     """One row: evaluated, accepted, rejected, and the admission rule."""
     n = evaluated.agg(F.count(F.lit(1)).alias("evaluated"), F.count(F.when(F.col("relevance.passes"), 1)).alias("accepted"))
-    return n.select("evaluated", "accepted", (F.col("evaluated") - F.col("accepted")).alias("rejected"), F.lit(threshold).alias("threshold"), F.lit(min_coverage).alias("min_coverage"), F.lit(BAND).alias("relevance_band"))
+    return n.select(
+        "evaluated", "accepted", (F.col("evaluated") - F.col("accepted")).alias("rejected"), F.lit(threshold).alias("threshold"),
+        F.lit(min_coverage).alias("min_coverage"), F.lit(BAND).alias("relevance_band"),
+    )

@@ -20,11 +20,17 @@ def snapshot_readings(snapshots: DataFrame) -> DataFrame:
     at is capturedAt in milliseconds, NULL unless it is known, positive and not after the reception. Rows without a
     snapshot_id or bvid are left out: they name no reading or no source."""
     rows = snapshots.where(F.col("snapshot_id").isNotNull() & F.col("bvid").isNotNull())
-    rows = rows.select("snapshot_id", "bvid", timestamp_ms(F.col("capturedAt")).alias("at"), epoch_ms(rows, "received_at").alias("received"), *(F.col(f"stats.{m}").alias(m) for m in METRICS))
+    rows = rows.select(
+        "snapshot_id", "bvid", timestamp_ms(F.col("capturedAt")).alias("at"), epoch_ms(rows, "received_at").alias("received"),
+        *(F.col(f"stats.{m}").alias(m) for m in METRICS),
+    )
     first = F.min(F.struct("received", "bvid", "at", *METRICS)).alias("r")
     rows = rows.groupBy(F.col("snapshot_id").alias("reading")).agg(first)
     usable = (F.col("r.at") <= F.col("r.received")) | F.col("r.received").isNull()
-    return rows.select("reading", F.col("r.bvid").alias("source"), F.when(usable, F.col("r.at")).alias("at"), F.col("r.received").alias("received"), *(F.col(f"r.{m}").alias(m) for m in METRICS))
+    return rows.select(
+        "reading", F.col("r.bvid").alias("source"), F.when(usable, F.col("r.at")).alias("at"), F.col("r.received").alias("received"),
+        *(F.col(f"r.{m}").alias(m) for m in METRICS),
+    )
 
 
 def largest_source(rows: DataFrame) -> tuple[int, int]:

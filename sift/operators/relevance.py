@@ -158,7 +158,9 @@ def evaluate(items: DataFrame, query: str | ParsedQuery, prefilter: bool = True)
         least = F.when(~exact_anchor & strong, RELAXED_COVERAGE).otherwise(least)
     rows = stage(rows.withColumns({"_value": value, "_least": least, "_negative": negative}))
     rejected = texts([
-        F.when(F.col("_negative").isNotNull(), F.concat(F.lit("命中排除词“"), F.col("_negative"), F.lit("”"))), F.when(F.col("_value") < rules.threshold, F.lit(f"相关性低于 {round(rules.threshold * 100)} 分")),
+        F.when(
+            F.col("_negative").isNotNull(), F.concat(F.lit("命中排除词“"), F.col("_negative"), F.lit("”")),
+        ), F.when(F.col("_value") < rules.threshold, F.lit(f"相关性低于 {round(rules.threshold * 100)} 分")),
         F.when(F.col("_coverage") < F.col("_least"), F.format_string("关键词覆盖低于 %d%%", F.floor(F.col("_least") * 100 + 0.5).cast("int"))), F.when(~core, F.lit("至少一个核心词须精确命中标题或标签")),
         F.when(~phrases, F.lit("引号中的短语未精确命中允许字段")), F.when(~model, F.lit("数字、年份或型号词未在核心字段精确命中")),
     ])
@@ -166,7 +168,9 @@ def evaluate(items: DataFrame, query: str | ParsedQuery, prefilter: bool = True)
     titles, n = sum((F.when(x, 1).otherwise(0) for x in in_title), F.lit(0)), len(q.terms)
     positive = texts([
         F.when(F.col("_phrase.reason") != "", F.col("_phrase.reason")),
-        F.when(titles == n, F.lit(f"标题命中全部 {n} 个词项")).when(titles > 0, F.concat(F.lit("标题命中 "), titles.cast("string"), F.lit(f"/{n} 个词项"))), F.when(F.col("_coverage") >= 0.99, F.lit("关键词覆盖完整")),
+        F.when(titles == n, F.lit(f"标题命中全部 {n} 个词项")).when(
+            titles > 0, F.concat(F.lit("标题命中 "), titles.cast("string"), F.lit(f"/{n} 个词项")),
+        ), F.when(F.col("_coverage") >= 0.99, F.lit("关键词覆盖完整")),
     ])
     missing = texts([F.when(best[i] <= 0, F.lit(q.terms[i].text)) for i in primary])
     aside = texts([F.when((best[i] > 0) & ~in_title[i], F.lit(q.terms[i].text)) for i in every])

@@ -180,7 +180,10 @@ def normal(told: list, segs: int, digits: np.ndarray) -> Normal:
     return Normal(spread, rate, digits)
 
 
-def _beyond(y: np.ndarray, at: np.ndarray, seg: np.ndarray, spread: np.ndarray, own_floor: np.ndarray, digits: np.ndarray, rate: np.ndarray, along: np.ndarray, least: float) -> np.ndarray:
+def _beyond(
+    y: np.ndarray, at: np.ndarray, seg: np.ndarray, spread: np.ndarray, own_floor: np.ndarray, digits: np.ndarray, rate: np.ndarray, along: np.ndarray,
+    least: float,
+) -> np.ndarray:
     """Which log values leave the fences on the same side of the medians before and after them."""
     hit = np.zeros(len(y), bool)
     near = {k: _shifted(y, seg, k) for w in range(1, max(WIDTHS) + 1) for k in (w, -w)}
@@ -529,7 +532,9 @@ def _flag_hot(readings: DataFrame, judged: list[str], metrics: list[str], shard_
         usual = normal([[pick(k, 0), pick(k, 1)] for k in range(len(metrics))], 1, digits)
         return pd.DataFrame({"source": [key[0]], "spread": [usual.spread.ravel()], "rate": [usual.rate.ravel()], "digits": [usual.digits.ravel()]})
 
-    merged_ = sharded.groupBy("source", "shard").applyInPandas(tell, f"source {kind['source']}, k int, which int, key long, n long").groupBy("source", "k", "which", "key").agg(F.sum("n").alias("n"))
+    merged_ = sharded.groupBy("source", "shard").applyInPandas(
+        tell, f"source {kind['source']}, k int, which int, key long, n long",
+    ).groupBy("source", "k", "which", "key").agg(F.sum("n").alias("n"))
     usual_ = merged_.groupBy("source").applyInPandas(learn, f"source {kind['source']}, spread array<double>, rate array<double>, digits array<int>")
 
     def clean(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -558,7 +563,10 @@ def flag_spikes(readings: DataFrame, judged: list[str], metrics: list[str] = MET
     equal times are ordered by id. An empty table gives an empty result; other columns are ignored."""
     readings = readings.select("reading", "source", "at", *(F.col(m).cast("double").alias(m) for m in metrics))
     # NaN is told apart from NULL here, as pandas can't.
-    numbers = readings.select("reading", (F.col("at").isNotNull() & F.col("source").isNotNull()).alias("judged"), F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in judged))).alias("c")).select("reading", "judged", "c.*")
+    numbers = readings.select(
+        "reading", (F.col("at").isNotNull() & F.col("source").isNotNull()).alias("judged"),
+        F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in judged))).alias("c"),
+    ).select("reading", "judged", "c.*")
     impossible = (F.col("v") < 0) | (F.col("v") >= TOO_LARGE) | (F.col("v") != F.floor("v"))
     numbers = numbers.where(F.col("v").isNotNull() & (F.isnan("v") | (~F.col("judged") & impossible))).select("reading", "metric", F.lit("impossible").alias("kind"))
     schema = f"reading {readings.schema['reading'].dataType.simpleString()}, metric string, kind string"

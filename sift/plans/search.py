@@ -37,7 +37,10 @@ def search(items: DataFrame, query: str, now_ms: int, snapshots: DataFrame | Non
     return SearchResult(parsed, ranked, evaluated.where("not relevance.passes"), ranking_stats(evaluated, rule.threshold, rule.min_coverage))
 
 
-def search_cards(cards: DataFrame, query: str, now_ms: int, details: DataFrame | None = None, snapshots: DataFrame | None = None, samples: DataFrame | None = None, detail_limit: int | None = None) -> SearchResult:
+def search_cards(
+    cards: DataFrame, query: str, now_ms: int, details: DataFrame | None = None, snapshots: DataFrame | None = None, samples: DataFrame | None = None,
+    detail_limit: int | None = None,
+) -> SearchResult:
     """The whole pipeline from raw cards. With detail_limit only the balanced shortlist of a first ranking gets
     details, as an interactive search with costly lookups would; else all items do (one equi-join)."""
     ship_package(cards.sparkSession)

@@ -66,17 +66,27 @@ def card_texts(spark, d):
 
 def card_items(spark, d):
     rows = I.normalize_cards(_t(spark, d, "search_cards"))
-    return rows.select(F.col("seq.c").alias("card_id"), "key", "title", "description", F.array_join("tags", "|").alias("tags"), "category", "url", "coverUrl", "durationSeconds", "durationText", "publishedAt", F.col("author.name").alias("author"), F.col("author.mid").alias("mid"), "stats.views", "stats.likes", "stats.favorites", "stats.replies", "stats.danmaku", F.col("source.orderLabel").alias("order_label"), "source.page", "source.position")
+    return rows.select(
+        F.col("seq.c").alias("card_id"), "key", "title", "description", F.array_join("tags", "|").alias("tags"), "category", "url", "coverUrl",
+        "durationSeconds", "durationText", "publishedAt", F.col("author.name").alias("author"), F.col("author.mid").alias("mid"), "stats.views",
+        "stats.likes", "stats.favorites", "stats.replies", "stats.danmaku", F.col("source.orderLabel").alias("order_label"), "source.page",
+        "source.position",
+    )
 
 
 def detail_items(spark, d):
     rows = I.normalize_details(_t(spark, d, "video_details"))
-    return rows.select("key", "title", "description", "coverUrl", "durationSeconds", "durationText", "publishedAt", F.col("author.name").alias("author"), *(f"stats.{m}" for m in I.STATS), F.size("pages").cast("long").alias("n_pages"), "pageCount", "partial")
+    return rows.select(
+        "key", "title", "description", "coverUrl", "durationSeconds", "durationText", "publishedAt", F.col("author.name").alias("author"),
+        *(f"stats.{m}" for m in I.STATS), F.size("pages").cast("long").alias("n_pages"), "pageCount", "partial",
+    )
 
 
 def online_counts(spark, d):
     raw = _t(spark, d, "online_samples")
-    return I.normalize_online(raw).join(raw.select("sample_id", lenient_online(F.col("total")).alias("lenient")), "sample_id").select("sample_id", "total", "web", "total_approximate", "web_approximate", "total_visible", "web_visible", "lenient")
+    return I.normalize_online(raw).join(raw.select("sample_id", lenient_online(F.col("total")).alias("lenient")), "sample_id").select(
+        "sample_id", "total", "web", "total_approximate", "web_approximate", "total_visible", "web_visible", "lenient",
+    )
 
 
 def video_keys(spark, d):
@@ -140,7 +150,11 @@ def ngram_affinity(spark, d):
 
 def merged_items(spark, d):
     rows = I.merge_items(I.normalize_cards(_t(spark, d, "search_cards")))
-    return rows.select("key", "records", "title", "description", F.array_join("tags", "|").alias("tags"), "category", "coverUrl", "durationText", F.col("author.name").alias("author"), F.col("author.mid").alias("mid"), "durationSeconds", "publishedAt", "aid", *(f"stats.{m}" for m in ("views", "likes", "favorites", "replies", "danmaku")), F.size("sources").cast("long").alias("n_sources"))
+    return rows.select(
+        "key", "records", "title", "description", F.array_join("tags", "|").alias("tags"), "category", "coverUrl", "durationText",
+        F.col("author.name").alias("author"), F.col("author.mid").alias("mid"), "durationSeconds", "publishedAt", "aid",
+        *(f"stats.{m}" for m in ("views", "likes", "favorites", "replies", "danmaku")), F.size("sources").cast("long").alias("n_sources"),
+    )
 
 
 def pool_stats(spark, d):
@@ -159,7 +173,10 @@ def recalled_routes(spark, d):
 
 def enriched_items(spark, d):
     rows = _items(spark, d)
-    return rows.select("key", "title", "description", F.col("author.name").alias("author"), "publishedAt", *(f"stats.{m}" for m in I.STATS), F.col("enrichment.detail").alias("detail"))
+    return rows.select(
+        "key", "title", "description", F.col("author.name").alias("author"), "publishedAt", *(f"stats.{m}" for m in I.STATS),
+        F.col("enrichment.detail").alias("detail"),
+    )
 
 
 def first_details(spark, d):
@@ -178,7 +195,9 @@ def fallback_details(spark, d):
 
 def chosen_parts(spark, d):
     part = I.select_part(F.col("pages"), 2)
-    return I.normalize_details(_t(spark, d, "video_details")).select("key", part.alias("p")).select("key", "p.cid", "p.page", "p.selection", F.col("p.multiPart").alias("multi_part"))
+    return I.normalize_details(_t(spark, d, "video_details")).select("key", part.alias("p")).select(
+        "key", "p.cid", "p.page", "p.selection", F.col("p.multiPart").alias("multi_part"),
+    )
 
 
 def page_scans(spark, d):
@@ -210,7 +229,11 @@ def replaced_items(spark, d):
 def relevance(spark, d):
     rows = evaluate(matchable(_items(spark, d)), QUERY)
     r = "relevance."
-    return rows.select("key", F.round(r + "value", 6).alias("value"), F.round(r + "coverage", 6).alias("coverage"), F.round(r + "title_coverage", 6).alias("title_coverage"), F.round(r + "phrase.score", 6).alias("phrase"), F.col(r + "passes").alias("passes"), F.size(r + "rejection_reasons").cast("long").alias("n_reasons"))
+    return rows.select(
+        "key", F.round(r + "value", 6).alias("value"), F.round(r + "coverage", 6).alias("coverage"),
+        F.round(r + "title_coverage", 6).alias("title_coverage"), F.round(r + "phrase.score", 6).alias("phrase"), F.col(r + "passes").alias("passes"),
+        F.size(r + "rejection_reasons").cast("long").alias("n_reasons"),
+    )
 
 
 def relevance_syntax(spark, d):
@@ -218,7 +241,10 @@ def relevance_syntax(spark, d):
     items, out = matchable(_items(spark, d)), None
     for name, query in SYNTAX.items():
         rows = evaluate(items, query)
-        told = rows.select(F.lit(name).alias("query_id"), "key", F.round("relevance.value", 6).alias("value"), F.round("relevance.coverage", 6).alias("coverage"), "relevance.passes", F.array_join("relevance.rejection_reasons", "|").alias("reasons"))
+        told = rows.select(
+            F.lit(name).alias("query_id"), "key", F.round("relevance.value", 6).alias("value"), F.round("relevance.coverage", 6).alias("coverage"),
+            "relevance.passes", F.array_join("relevance.rejection_reasons", "|").alias("reasons"),
+        )
         out = told if out is None else out.unionByName(told)
     return out
 
@@ -249,7 +275,11 @@ def timeliness_intents(spark, d):
     items, online, out = _items(spark, d), _online(spark, d), None
     for text in INTENTS:
         t = D.timeliness(items, text, NOW_MS, online)
-        told = t.select(F.lit(text).alias("query"), "key", *(F.round(f"timeliness.{c}", 6).alias(c.split(".")[-1]) for c in ("value", "components.recency", "components.online")), F.col("timeliness.half_life_days").alias("days"))
+        told = t.select(
+            F.lit(text).alias("query"), "key",
+            *(F.round(f"timeliness.{c}", 6).alias(c.split(".")[-1]) for c in ("value", "components.recency", "components.online")),
+            F.col("timeliness.half_life_days").alias("days"),
+        )
         out = told if out is None else out.unionByName(told)
     return out
 
@@ -259,7 +289,11 @@ def timeliness_intents(spark, d):
 
 def rank_all_views(spark, d):
     rows = _search(spark, d).ranked
-    return rows.select("view", F.col("position").cast("long").alias("position"), "key", F.col("rank.relevance_band").alias("band"), F.round("rank.band_position", 6).alias("band_position"), F.round("rank.inner_score", 6).alias("inner_score"), F.round("rank.signal", 6).alias("signal"))
+    return rows.select(
+        "view", F.col("position").cast("long").alias("position"), "key", F.col("rank.relevance_band").alias("band"),
+        F.round("rank.band_position", 6).alias("band_position"), F.round("rank.inner_score", 6).alias("inner_score"),
+        F.round("rank.signal", 6).alias("signal"),
+    )
 
 
 def ranking_stats(spark, d):
@@ -404,7 +438,11 @@ _URL = "replace(replace(url_encode({}), '%7E', '~'), '+', '%20')"
 
 ORACLES = {
     "card_texts": f"SELECT card_id, {S.strip('title')} AS clean, {_N} AS normalized, {S.compact(_N)} AS compact FROM search_cards",
-    "card_items": f"WITH {S.CARDS} SELECT c AS card_id, key, title, description, array_to_string(list_filter(tags, lambda t, k: list_position(tags, t) = k), '|') AS tags, category, 'https://video.example/video/' || key AS url, \"coverUrl\", \"durationSeconds\", \"durationText\", \"publishedAt\", author, mid, views, likes, favorites, replies, danmaku, order_label, page, position FROM cards",
+    "card_items": (
+        f"WITH {S.CARDS} SELECT c AS card_id, key, title, description, array_to_string(list_filter(tags, lambda t, k: list_position(tags, t) = k), "
+        f"'|') AS tags, category, 'https://video.example/video/' || key AS url, \"coverUrl\", \"durationSeconds\", \"durationText\", \"publishedAt\", author, "
+        f"mid, views, likes, favorites, replies, danmaku, order_label, page, position FROM cards"
+    ),
     "detail_items": f"""
 WITH d AS (SELECT *, list_filter(coalesce(pages, []), lambda p: p.cid IS NOT NULL) AS good FROM video_details WHERE trim(coalesce(bvid, '')) <> '')
 SELECT trim(bvid) AS key, {S.strip("title")} AS title, {S.strip('"desc"')} AS description, {S.url("pic")} AS "coverUrl", duration::DOUBLE AS "durationSeconds", {S.label("duration")} AS "durationText", pubdate * 1000 AS "publishedAt",
@@ -421,7 +459,10 @@ w AS (SELECT *, regexp_extract(b, '^(?:(?:(?:https?:)?//)?[^/\\s]+/video/)?[Bb][
 SELECT record_id, regexp_matches(regexp_replace(raw, '^[\\s\\x{{3000}}\\x{{00A0}}\\x{{FEFF}}]+|[\\s\\x{{3000}}\\x{{00A0}}\\x{{FEFF}}]+$', '', 'g'), '^BV[0-9A-Za-z]{{8,24}}$') AS strict, CASE WHEN tail <> '' THEN 'BV' || tail END AS key FROM w""",
     "snapshot_times": 'SELECT snapshot_id, CASE WHEN "capturedAt" > 0 THEN CASE WHEN "capturedAt" < 10000000000 THEN "capturedAt" * 1000 ELSE "capturedAt" END END AS "at" FROM snapshots',
     "duration_labels": f"SELECT bvid, greatest(0.0, duration::DOUBLE) AS seconds, {S.label('duration')} AS label FROM video_details",
-    "payload_kinds": "SELECT doc_id, CASE WHEN status = 503 OR (status = 200 AND charset IS NULL) THEN 'risk' WHEN status = 200 THEN 'ok' ELSE 'api' END AS kind, coalesce(status IN (404, 405), false) AS structural FROM documents",
+    "payload_kinds": (
+        "SELECT doc_id, CASE WHEN status = 503 OR (status = 200 AND charset IS NULL) THEN 'risk' WHEN status = 200 THEN 'ok' ELSE 'api' END AS kind, "
+        "coalesce(status IN (404, 405), false) AS structural FROM documents"
+    ),
     "signed_requests": f"""
 WITH c AS (SELECT *, concat_ws('&', 'keyword=' || {_URL.format("regexp_replace(author, '[!''()*]', '', 'g')")}, 'order=' || route, 'page=' || page::VARCHAR, 'tid=' || nullif(position, 1)::VARCHAR, 'wts=1788782400') AS q, {_MIX} AS k FROM search_cards)
 SELECT card_id, q || '&w_rid=' || md5(q || k) AS signed, concat_ws('&', 'keyword=' || replace(url_encode(author), '%20', '+'), 'order=' || route, 'page=' || page::VARCHAR, 'tid=' || nullif(position, 1)::VARCHAR) AS plain FROM c""",
@@ -429,24 +470,46 @@ SELECT card_id, q || '&w_rid=' || md5(q || k) AS signed, concat_ws('&', 'keyword
 WITH c AS (SELECT *, trim(coalesce(typename, '')) || ' ' || CASE WHEN play > 99 THEN '99+' ELSE coalesce(play::VARCHAR, '') END AS made, route IS NOT NULL AND page IS NOT NULL AND author IS NOT NULL AS whole FROM search_cards)
 SELECT card_id, trim(regexp_replace(trim(made), '\\s*[0-9]+\\+?\\s*$', '')) AS label, CASE WHEN whole THEN '/search/' || route END AS path, CASE WHEN whole THEN trim(author) ELSE '' END AS keyword FROM c""",
     "exact_terms": _TITLES + " SELECT card_id, " + ", ".join(f"({_exact(k)}) AS {k}" for k in EXACT) + " FROM t",
-    "fuzzy_similarity": f"{_TITLES}, u AS (SELECT card_id, c, regexp_replace(c, '[^\\x00-\\x7F]', '~', 'g') AS h FROM t), s AS (SELECT card_id, CASE WHEN contains(c, '{FUZZY_NEEDLE}') THEN 1.0 WHEN length(h) BETWEEN 1 AND 2000 THEN greatest({_WINDOWS}) ELSE 0.0 END AS s FROM u) SELECT card_id, CASE WHEN s >= 0.74 THEN round(s, 6) ELSE 0.0 END::DOUBLE AS similarity FROM s",
+    "fuzzy_similarity": (
+        f"{_TITLES}, u AS (SELECT card_id, c, regexp_replace(c, '[^\\x00-\\x7F]', '~', 'g') AS h FROM t), s AS (SELECT card_id, CASE WHEN contains(c, "
+        f"'{FUZZY_NEEDLE}') THEN 1.0 WHEN length(h) BETWEEN 1 AND 2000 THEN greatest({_WINDOWS}) ELSE 0.0 END AS s FROM u) SELECT card_id, CASE "
+        f"WHEN s >= 0.74 THEN round(s, 6) ELSE 0.0 END::DOUBLE AS similarity FROM s"
+    ),
     "ngram_affinity": _TITLES + " SELECT card_id, CASE WHEN contains(c, '网球决赛') THEN 1.0 ELSE round(((contains(c, '网球'))::INT + (contains(c, '球决'))::INT + (contains(c, '决赛'))::INT) / 3.0::DOUBLE, 6) END::DOUBLE AS affinity, regexp_matches(c, '网球.*回放') AS ordered FROM t",
-    "merged_items": f"WITH {S.MERGED} SELECT key, records, title, description, array_to_string(tags, '|') AS tags, category, \"coverUrl\", \"durationText\", author, mid, \"durationSeconds\", \"publishedAt\", aid, views, likes, favorites, replies, danmaku, n_sources FROM merged",
-    "pool_stats": "SELECT count(*) AS raw_count, count(*) FILTER (ok) AS valid_count, count(DISTINCT CASE WHEN ok THEN trim(bvid) END) AS unique_count, count(*) FILTER (NOT ok) AS ignored_count, count(*) FILTER (ok) - count(DISTINCT CASE WHEN ok THEN trim(bvid) END) AS duplicate_count FROM (SELECT *, type = 'video' AND coalesce(bvid, '') <> '' AS ok FROM search_cards)",
+    "merged_items": (
+        f"WITH {S.MERGED} SELECT key, records, title, description, array_to_string(tags, '|') AS tags, category, \"coverUrl\", \"durationText\", author, mid, "
+        f"\"durationSeconds\", \"publishedAt\", aid, views, likes, favorites, replies, danmaku, n_sources FROM merged"
+    ),
+    "pool_stats": (
+        "SELECT count(*) AS raw_count, count(*) FILTER (ok) AS valid_count, count(DISTINCT CASE WHEN ok THEN trim(bvid) END) AS unique_count, "
+        "count(*) FILTER (NOT ok) AS ignored_count, count(*) FILTER (ok) - count(DISTINCT CASE WHEN ok THEN trim(bvid) END) AS duplicate_count FROM (SELECT *, "
+        "type = 'video' AND coalesce(bvid, '') <> '' AS ok FROM search_cards)"
+    ),
     "recalled_routes": f"WITH {S.MERGED}, r AS ("
     + " UNION ALL ".join(
         f"SELECT key, '{o}' AS \"order\", '{lab}' AS \"orderLabel\", row_number() OVER (ORDER BY {by} DESC NULLS LAST, key) AS n FROM merged"
-        for (o, lab), by in zip({"totalrank": "综合", "click": "播放", "pubdate": "最新", "stow": "收藏", "dm": "弹幕"}.items(), ("coalesce(views, 0) + coalesce(likes, 0)", "views", '"publishedAt"', "favorites", "danmaku"))
+        for (o, lab), by in zip(
+            {"totalrank": "综合", "click": "播放", "pubdate": "最新", "stow": "收藏", "dm": "弹幕"}.items(),
+            ("coalesce(views, 0) + coalesce(likes, 0)", "views", '"publishedAt"', "favorites", "danmaku"),
+        )
     )
     + ') SELECT key, "order", "orderLabel", ((n - 1) // 50 + 1)::INT AS page, ((n - 1) % 50 + 1)::INT AS position FROM r WHERE n <= 150',
     "enriched_items": f'WITH {S.ENRICHED} SELECT key, title, description, author, "publishedAt", {", ".join(S.STATS)}, detail FROM items',
-    "first_details": f"WITH k AS (SELECT trim(bvid) AS key, min(card_id) AS seq FROM search_cards WHERE regexp_matches(trim(bvid), '^BV[0-9A-Za-z]{{8,24}}$') GROUP BY 1 ORDER BY seq, key LIMIT 60) SELECT key, seq, {S.strip('title')} AS title, stat.\"view\"::DOUBLE AS views FROM k LEFT JOIN (SELECT bvid, title, stat FROM video_details) ON bvid = key".replace(S.strip("title"), f"CASE WHEN bvid IS NOT NULL THEN {S.strip('title')} END"),
-    "fallback_details": "SELECT trim(bvid) AS key, CASE WHEN aid % 7 = 0 OR aid IS NULL THEN 'stat-fallback' ELSE 'detail' END AS source, (aid % 7 = 0 OR aid IS NULL) AS partial, stat.\"view\"::DOUBLE AS views FROM video_details",
+    "first_details": f"WITH k AS (SELECT trim(bvid) AS key, min(card_id) AS seq FROM search_cards WHERE regexp_matches(trim(bvid), '^BV[0-9A-Za-z]{{8,24}}$') GROUP BY 1 ORDER BY seq, key LIMIT 60) SELECT key, seq, {S.strip('title')} AS title, stat.\"view\"::DOUBLE AS views FROM k LEFT JOIN (SELECT bvid, title, stat FROM video_details) ON bvid = key".replace(
+        S.strip("title"), f"CASE WHEN bvid IS NOT NULL THEN {S.strip('title')} END",
+    ),
+    "fallback_details": (
+        "SELECT trim(bvid) AS key, CASE WHEN aid % 7 = 0 OR aid IS NULL THEN 'stat-fallback' ELSE 'detail' END AS source, (aid % 7 = 0 "
+        "OR aid IS NULL) AS partial, stat.\"view\"::DOUBLE AS views FROM video_details"
+    ),
     "chosen_parts": """
 WITH d AS (SELECT trim(bvid) AS key, list_filter(list_transform(coalesce(pages, []), lambda p, i: {'cid': p.cid, 'page': coalesce(p.page, i)::INT}), lambda p: p.cid IS NOT NULL) AS good FROM video_details),
 e AS (SELECT key, good, list_filter(good, lambda p: p.page = 2)[1] AS asked FROM d)
 SELECT key, coalesce(asked, good[1]).cid AS cid, coalesce(asked, good[1]).page AS page, CASE WHEN len(good) > 0 THEN CASE WHEN asked IS NOT NULL THEN 'requested-page' ELSE 'first-page-fallback' END END AS selection, len(good) > 1 AS multi_part FROM e""",
-    "relevance": f"{_RANKED} SELECT key, round(relevance, 6) AS value, round(coverage, 6) AS coverage, round(title_coverage, 6) AS title_coverage, round(phrase, 6) AS phrase, passes, (CASE WHEN reasons = '' THEN 0 ELSE len(string_split(reasons, '|')) END)::BIGINT AS n_reasons FROM judged",
+    "relevance": (
+        f"{_RANKED} SELECT key, round(relevance, 6) AS value, round(coverage, 6) AS coverage, round(title_coverage, 6) AS title_coverage, round(phrase, "
+        f"6) AS phrase, passes, (CASE WHEN reasons = '' THEN 0 ELSE len(string_split(reasons, '|')) END)::BIGINT AS n_reasons FROM judged"
+    ),
     "relevance_syntax": " UNION ALL ".join(f"SELECT * FROM (WITH {S.ENRICHED}, {S.relevance_of(parse(q), 'items')} SELECT '{name}' AS query_id, key, round(relevance, 6) AS value, round(coverage, 6) AS coverage, passes, reasons FROM judged)" for name, q in SYNTAX.items()),
     "search_batch": " UNION ALL ".join(f"SELECT * FROM ({_SCORED}, {S.relevance_of(parse(q))}, {S.ranked()} SELECT '{name}' AS query_id, view, position, key FROM ranked)" for name, q in BATCH.items()),
     "page_scans": """
@@ -468,18 +531,40 @@ UNION ALL SELECT key, title, views, NULL::DOUBLE, NULL FROM (WITH {S.MERGED} SEL
     "timeliness_intents": " UNION ALL ".join(
         f"SELECT * FROM (WITH {S.ENRICHED}, {S.quality()}, {S.growth(NOW_MS)}, {S.timeliness(NOW_MS, days)} SELECT '{text}' AS query, key, round(timeliness, 6) AS value, round(recency, 6) AS recency, round(heat, 6) AS online, {days} AS days FROM scored)" for text, days in INTENTS.items()
     ),
-    "quality_scores": f"WITH {S.ENRICHED}, {S.quality()} SELECT key, round(quality, 6) AS value, round(0.65 * q_abs + 0.35 * q_rate, 6) AS raw, round(q_full, 6) AS completeness, round(q_abs, 6) AS absolute, round(q_rate, 6) AS rate FROM scored_q",
-    "growth_scores": f"{_SCORED} SELECT key, round(growth, 6) AS value, round((CASE WHEN g_seen > 0 THEN g_seen ELSE g_life END)::DOUBLE, 6) AS completeness, round((CASE WHEN g_status = 'unavailable' THEN 0.0 ELSE g_trust END)::DOUBLE, 6) AS confidence, round(g_hours, 6) AS observation_hours, g_status AS status FROM scored_g",
-    "timeliness_scores": f"{_SCORED} SELECT key, round(timeliness, 6) AS value, round(online, 6) AS online_count, CASE WHEN recency IS NULL THEN 0::DOUBLE ELSE 0.65 END + CASE WHEN heat IS NULL THEN 0::DOUBLE ELSE 0.35 END AS completeness FROM scored",
+    "quality_scores": (
+        f"WITH {S.ENRICHED}, {S.quality()} SELECT key, round(quality, 6) AS value, round(0.65 * q_abs + 0.35 * q_rate, 6) AS raw, round(q_full, "
+        f"6) AS completeness, round(q_abs, 6) AS absolute, round(q_rate, 6) AS rate FROM scored_q"
+    ),
+    "growth_scores": (
+        f"{_SCORED} SELECT key, round(growth, 6) AS value, round((CASE WHEN g_seen > 0 THEN g_seen ELSE g_life END)::DOUBLE, 6) AS completeness, round((CASE "
+        f"WHEN g_status = 'unavailable' THEN 0.0 ELSE g_trust END)::DOUBLE, 6) AS confidence, round(g_hours, 6) AS observation_hours, g_status AS status "
+        f"FROM scored_g"
+    ),
+    "timeliness_scores": (
+        f"{_SCORED} SELECT key, round(timeliness, 6) AS value, round(online, 6) AS online_count, CASE WHEN recency IS NULL THEN 0::DOUBLE ELSE 0.65 END + CASE "
+        f"WHEN heat IS NULL THEN 0::DOUBLE ELSE 0.35 END AS completeness FROM scored"
+    ),
     "rank_all_views": f"{_RANKED} SELECT view, position, key, band, round(band_position, 6) AS band_position, round(inner_score, 6) AS inner_score, round(signal, 6) AS signal FROM ranked",
-    "ranking_stats": f"{_RANKED} SELECT count(*) AS evaluated, count(*) FILTER (passes) AS accepted, count(*) FILTER (NOT passes) AS rejected, 0.35::DOUBLE AS threshold, 0.5::DOUBLE AS min_coverage, 0.05::DOUBLE AS relevance_band FROM judged",
+    "ranking_stats": (
+        f"{_RANKED} SELECT count(*) AS evaluated, count(*) FILTER (passes) AS accepted, count(*) FILTER (NOT passes) AS rejected, 0.35::DOUBLE AS threshold, "
+        f"0.5::DOUBLE AS min_coverage, 0.05::DOUBLE AS relevance_band FROM judged"
+    ),
     "rejected_items": f"{_RANKED} SELECT key, round(relevance, 6) AS value FROM judged WHERE NOT passes",
     "shortlist": f"{_RANKED} SELECT key, min(3 * (position - 1) + view_index) AS turn FROM ranked WHERE position <= 60 GROUP BY key ORDER BY turn LIMIT 60",
     "online_shortlist": f"{_RANKED} SELECT key, position FROM ranked WHERE view = 'timeliness' AND position <= 24",
-    "page_two": f"{_RANKED}, n AS (SELECT greatest(1, ceil(max(position) / {RESULTS_PER_PAGE}.0)) AS pages FROM ranked WHERE view = 'growth') SELECT key, position FROM ranked, n WHERE view = 'growth' AND position > (least(2, pages) - 1) * {RESULTS_PER_PAGE} AND position <= least(2, pages) * {RESULTS_PER_PAGE}",
+    "page_two": (
+        f"{_RANKED}, n AS (SELECT greatest(1, ceil(max(position) / {RESULTS_PER_PAGE}.0)) AS pages FROM ranked WHERE view = 'growth') SELECT key, position "
+        f"FROM ranked, n WHERE view = 'growth' AND position > (least(2, pages) - 1) * {RESULTS_PER_PAGE} AND position <= least(2, pages) * {RESULTS_PER_PAGE}"
+    ),
     "sampled_history": f"{_WALK} SELECT source, \"at\" FROM k",
-    "kept_history": f"{_WALK}, n AS (SELECT source FROM young GROUP BY source ORDER BY max(\"at\") DESC, source LIMIT {HISTORY.keep_items}) SELECT source, \"at\" FROM young SEMI JOIN n USING (source)",
-    "snapshots_of_items": f"{_WALK} SELECT d.bvid AS source, count(y.\"at\") AS n FROM (SELECT DISTINCT bvid FROM video_details) d LEFT JOIN (SELECT * FROM young WHERE \"at\" <= {NOW_MS}) y ON y.source = d.bvid GROUP BY d.bvid",
+    "kept_history": (
+        f"{_WALK}, n AS (SELECT source FROM young GROUP BY source ORDER BY max(\"at\") DESC, source LIMIT {HISTORY.keep_items}) SELECT source, \"at\" "
+        f"FROM young SEMI JOIN n USING (source)"
+    ),
+    "snapshots_of_items": (
+        f"{_WALK} SELECT d.bvid AS source, count(y.\"at\") AS n FROM (SELECT DISTINCT bvid FROM video_details) d LEFT JOIN (SELECT * FROM young "
+        f"WHERE \"at\" <= {NOW_MS}) y ON y.source = d.bvid GROUP BY d.bvid"
+    ),
     "recorded_history": f"""WITH {S.ENRICHED}, r AS (SELECT key AS source, {", ".join(f"CASE WHEN {m} >= 0 AND isfinite({m}) THEN {m} END AS {m}" for m in S.STATS)} FROM items WHERE detail IN ('complete', 'partial'))
 SELECT source, "at", views, likes FROM r, (SELECT unnest([{NOW_MS}, {NOW_MS + 40 * 60_000}]) AS "at") WHERE coalesce({", ".join(S.STATS)}) IS NOT NULL""",
     "streamed_history": f"{_WALK} SELECT source, \"at\" FROM k",

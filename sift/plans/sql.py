@@ -211,7 +211,10 @@ def relevance_of(q: ParsedQuery, source: str = "scored") -> str:
     mean = lambda of: "(" + " + ".join(f"{q.terms[i].weight}::DOUBLE * {of(i)}" for i in every) + f") / {total}::DOUBLE"
     any_ = lambda xs: "(" + " OR ".join([*xs, "false"]) + ")"
     whole = Term(q.normalized, q.compact)
-    cascade = [(hit(whole, "title"), "1.0", "title"), (hit(whole, "tags"), "0.75", "tags"), (hit(whole, "description"), "0.65", "description"), (f"c_author = '{q.compact}'", "0.55", "author"), (f"c_category = '{q.compact}'", "0.35", "category")]
+    cascade = [
+        (hit(whole, "title"), "1.0", "title"), (hit(whole, "tags"), "0.75", "tags"), (hit(whole, "description"), "0.65", "description"),
+        (f"c_author = '{q.compact}'", "0.55", "author"), (f"c_category = '{q.compact}'", "0.35", "category"),
+    ]
     if len(q.terms) > 1:
         cascade.append((f"regexp_matches(c_title, '(?s){'.*'.join(''.join(f'[{x}]' for x in t.compact) for t in q.terms)}')", "0.58", "title"))
     if len(q.compact) >= 4:

@@ -20,7 +20,9 @@ def sample_stream(readings: DataFrame, policy: HistoryPolicy = HISTORY) -> DataF
     micro-batch than newer ones of it: a reading before the last kept one is left out, as is one older than the newest
     of all sources by more than the retention limit. A source's state is its last kept time; it is dropped once the
     watermark has passed it by that limit."""
-    timed = readings.where(F.col("source").isNotNull() & F.col("at").isNotNull()).select("source", "at", "reading", F.timestamp_millis("at").alias("_event")).withWatermark("_event", f"{policy.max_age_ms} milliseconds")
+    timed = readings.where(F.col("source").isNotNull() & F.col("at").isNotNull()).select(
+        "source", "at", "reading", F.timestamp_millis("at").alias("_event"),
+    ).withWatermark("_event", f"{policy.max_age_ms} milliseconds")
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:

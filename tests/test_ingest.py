@@ -69,7 +69,7 @@ def test_enrichment(spark):
         "bvid string, aid long, title string, desc string, pic string, duration long, pubdate long, videos int, owner struct<name:string,mid:long,face:string>, stat struct<view:long,`like`:long,favorite:long,reply:long,danmaku:long,coin:long,share:long>, pages array<struct<cid:long,page:int,part:string,duration:long>>")
     got = {r.key: r for r in I.enrich(items, I.normalize_details(detail)).collect()}
     a, b = got["BV1LEAF23456"], got["BV2OTHER1234"]
-    assert (a.stats.likes, a.stats.favorites, a.enrichment.detail, a.enrichment.pageCount, len(a.pages)) == (0.0, 400.0, "complete", 1.0, 1)
+    assert (a.stats.likes, a.stats.favorites, a.enrichment.detail, a.enrichment.pageCount, len(a.pages)) == (0.0, 350.0, "complete", 1.0, 1)
     assert (b.stats.likes, b.enrichment.detail) == (88.0, "unavailable")
     again = I.with_fallback(I.normalize_details(detail.where("false")), I.normalize_details(detail, "stat-fallback")).first()
     assert again.partial and again.source == "stat-fallback"

@@ -39,7 +39,10 @@ def pair_counts(baskets: DataFrame, item_type: str = "long", block: int = BLOCK)
     placed = placed.withColumn("_b", F.pmod(F.xxhash64("item"), F.col("_n")).cast("int"))
     copies = F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda j: F.struct(F.least("_b", j).alias("lo"), F.greatest("_b", j).alias("hi")))
     rows = placed.select("basket", "item", "_b", F.explode(copies).alias("c"))
-    rows = rows.groupBy("basket", "c.lo", "c.hi").agg(F.sort_array(F.collect_list(F.when(F.col("_b") == F.col("c.lo"), F.col("item")))).alias("left"), F.sort_array(F.collect_list(F.when(F.col("_b") == F.col("c.hi"), F.col("item")))).alias("right"))
+    rows = rows.groupBy("basket", "c.lo", "c.hi").agg(
+        F.sort_array(F.collect_list(F.when(F.col("_b") == F.col("c.lo"), F.col("item")))).alias("left"),
+        F.sort_array(F.collect_list(F.when(F.col("_b") == F.col("c.hi"), F.col("item")))).alias("right"),
+    )
     rows = rows.select(F.when(F.col("lo") == F.col("hi"), F.lit(True)).otherwise(False).alias("same"), "left", "right")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

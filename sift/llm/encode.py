@@ -65,7 +65,10 @@ def prefix_tables(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     pieces: characters of each of the pattern's pieces; last: the unique valid last token of each byte prefix within its
     piece, four bytes a byte of text. Null texts are stored as empty ones; one row per input row, no shuffle."""
-    return _edited(df.select(id_col, F.lit("").alias("text"), F.array().cast("array<int>").alias("pieces"), F.array().cast("array<int>").alias("last"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"), F.col(text_col).alias("new")), id_col, path).drop("ids")
+    return _edited(
+        df.select(id_col, F.lit("").alias("text"), F.array().cast("array<int>").alias("pieces"), F.array().cast("array<int>").alias("last"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"), F.col(text_col).alias("new")),
+        id_col, path,
+    ).drop("ids")
 
 
 def edited(stored: DataFrame, id_col: str = "doc_id", start_col: str = "start", end_col: str = "end", new_col: str = "new", path: str | None = None) -> DataFrame:

@@ -93,7 +93,10 @@ def mix_sources(docs: DataFrame, targets: DataFrame, seed: int = 7, path: str |
     plan = cut(mix_plan(counts, targets))
     sized = counts.where(F.col("n_tokens") > 0).join(plan.select("source", "copies_mean", "docs_available"), "source")
     whole, buckets = F.floor("copies_mean").cast("int"), F.ceil(F.col("docs_available") / bucket_docs)
-    start = sized.select("source", "doc_id", "n_tokens", (F.col("copies_mean") - whole).alias("p"), whole.alias("copies"), F.pmod(F.xxhash64("doc_id", F.lit(seed)), buckets).alias("node"))
+    start = sized.select(
+        "source", "doc_id", "n_tokens", (F.col("copies_mean") - whole).alias("p"), whole.alias("copies"),
+        F.pmod(F.xxhash64("doc_id", F.lit(seed)), buckets).alias("node"),
+    )
     nodes = plan.agg(F.max(F.ceil(F.col("docs_available") / bucket_docs))).first()[0] or 1
     parts, level = [start.where(F.col("p") == 0.0)], start.where(F.col("p") > 0.0)
     while True:
@@ -111,7 +114,9 @@ def mix_sources(docs: DataFrame, targets: DataFrame, seed: int = 7, path: str |
         decided = decided.unionByName(part.select(decided.columns))
     draws = decided.select("source", "doc_id", "n_tokens", (F.col("copies") + F.col("p").cast("int")).alias("copies")).where(F.col("copies") > 0)
     draws = cut(draws)  # the report is of these very draws, and readers of a few of its columns don't drop them
-    used = draws.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens_drawn"), F.count(F.lit(1)).alias("docs_drawn"), F.max("copies").alias("most_repeats"))
+    used = draws.groupBy("source").agg(
+        F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens_drawn"), F.count(F.lit(1)).alias("docs_drawn"), F.max("copies").alias("most_repeats"),
+    )
     report = plan.join(used, "source", "left").fillna(0, ["tokens_drawn", "docs_drawn", "most_repeats"])
     drawn = F.sum("tokens_drawn").over(W.partitionBy())  # over one row per target source
     shares = [F.when(whole > 0, F.col("tokens_drawn") / whole) for whole in (F.col("tokens_total"), drawn)]

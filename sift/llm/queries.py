@@ -24,7 +24,9 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
 def _tag_pairs(spark: SparkSession, d: str, min_count: int) -> tuple[DataFrame, DataFrame]:
     """(pairs, names): videos are baskets of the tags of any of their records. names (item, tag_id, tag): known tags are
     items by tag_id, others by a negative number of their form, which is written once."""
-    videos = _table(spark, d, "videos").where(F.col("record_id").isNotNull()).select(proper_key(F.col("bvid")).alias("basket"), F.explode_outer(F.array_distinct("tags")).alias("tag"))
+    videos = _table(spark, d, "videos").where(F.col("record_id").isNotNull()).select(
+        proper_key(F.col("bvid")).alias("basket"), F.explode_outer(F.array_distinct("tags")).alias("tag"),
+    )
     rows = cut(videos.where(F.col("basket").isNotNull()).distinct())
     forms = rows.select("tag").where(F.col("tag").isNotNull()).distinct().select("tag", one_form(F.col("tag")).alias("looks")).where(F.col("looks") != "")
     forms = cut(forms)
@@ -123,7 +125,9 @@ def p5_classes(spark: SparkSession, d: str) -> DataFrame:
 def p5_forms(spark: SparkSession, d: str) -> DataFrame:
     """Every record's title, description and tags in their one form, and folded for comparing."""
     videos = _table(spark, d, "videos")
-    texts = videos.select("record_id", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in ("title", "description")))).alias("t")).select("record_id", "t.*")
+    texts = videos.select(
+        "record_id", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in ("title", "description")))).alias("t"),
+    ).select("record_id", "t.*")
     texts = texts.unionByName(videos.select("record_id", F.lit("tags").alias("field"), F.explode("tags").alias("text")))
     forms = texts.select("text").where(F.col("text").isNotNull()).distinct().select("text", one_form(F.col("text")).alias("form"), one_form(F.col("text"), True).alias("folded"))
     return texts.join(forms, "text", "left")

@@ -133,7 +133,10 @@ def split_documents(
                         kind = "end" if b == len(classes) - 1 else BREAKS[classes[b]]
                         rows.append((at, k + 1, len(mine) - 1, a, b, kind, raw[ends[a] : ends[b]].decode("utf-8", "replace") if with_text else None))
             where = pa.array([r[0] for r in rows], pa.int64())
-            arrays = [batch.column(0).take(where), *(pa.array([r[i] for r in rows], pa.int32()) for i in (1, 2, 3, 4)), pa.array([r[4] - r[3] for r in rows], pa.int32()), pa.array([r[5] for r in rows], pa.string())]
+            arrays = [
+                batch.column(0).take(where), *(pa.array([r[i] for r in rows], pa.int32()) for i in (1, 2, 3, 4)),
+                pa.array([r[4] - r[3] for r in rows], pa.int32()), pa.array([r[5] for r in rows], pa.string()),
+            ]
             yield pa.RecordBatch.from_arrays(arrays + ([pa.array([r[6] for r in rows], pa.string())] if with_text else []), names=names)
             bpe.trim()
 

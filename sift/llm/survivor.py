@@ -188,7 +188,10 @@ def chosen_records(df: DataFrame, key: str, record: str, level: Column, time: Co
         F.col(key).alias("_key"), F.coalesce(level.cast("long"), F.lit(_UNKNOWN)).alias("level"), F.coalesce(time.cast("long"), F.lit(_UNKNOWN)).alias("time"), F.col(record).alias("record"),
         *(F.when(b.says, value(b)).alias(f"value_{b.name}") if b.name in tied else b.says.alias(f"says_{b.name}") for b in bundles),
     )
-    best = rows.groupBy("_key").agg(F.min("record").alias("first_record"), F.max("record").alias("last_record"), *(_best(F.col(f"says_{b.name}")).alias(b.name) for b in bundles if b.name not in tied))
+    best = rows.groupBy("_key").agg(
+        F.min("record").alias("first_record"), F.max("record").alias("last_record"),
+        *(_best(F.col(f"says_{b.name}")).alias(b.name) for b in bundles if b.name not in tied),
+    )
     if tied:
         best = best.join(_tied(rows, "_key", [b for b in bundles if b.name in tied], list(dependencies)), "_key", "left")
     broken = F.coalesce("broken", F.lit(0)) if tied else F.lit(0)
@@ -202,7 +205,9 @@ def surviving_records(df: DataFrame, key: str, record: str, level: Column, time:
     chosen = cut(chosen_records(df, key, record, level, time, bundles, dependencies))
     picks = F.explode(F.array(*(F.struct(F.col(f"{b.name}.record").alias("r"), F.lit(b.name).alias("b")) for b in bundles))).alias("p")
     wanted = chosen.select(key, picks).where(F.col("p.r").isNotNull()).groupBy(key, F.col("p.r").alias("record")).agg(F.collect_set("p.b").alias("_for"))
-    full = df.where(F.col(key).isNotNull() & F.col(record).isNotNull()).select(key, F.col(record).alias("record"), *(F.when(b.says, F.struct(*(v.alias(n) for n, v in b.fields.items()))).alias(b.name) for b in bundles))
+    full = df.where(F.col(key).isNotNull() & F.col(record).isNotNull()).select(
+        key, F.col(record).alias("record"), *(F.when(b.says, F.struct(*(v.alias(n) for n, v in b.fields.items()))).alias(b.name) for b in bundles),
+    )
     mine = wanted.join(full, [key, "record"]).groupBy(key).agg(*(F.max(F.when(F.array_contains("_for", b.name), F.col(b.name))).alias(f"_{b.name}") for b in bundles))
     whole = [F.when(F.col(b.name).isNotNull(), F.struct(*(F.col(f"{b.name}.{x}").alias(x) for x in ("level", "time", "record")), *(F.col(f"_{b.name}.{n}").alias(n) for n in b.fields))).alias(b.name) for b in bundles]
     return chosen.join(mine, key, "left").select(key, "first_record", "last_record", "broken", *whole)
